@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import mixing as _mixing
 
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    ).drop("items")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -25,6 +32,30 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+bw AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bp AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM bw WHERE len(w) > 0),
+bg AS (SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM bp),
+ns AS (SELECT DISTINCT n FROM bg),
+dp AS (SELECT doc_id, r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, ns WHERE len(w) >= n),
+h AS (SELECT dp.r, dp.p, dp.n, bg.item FROM dp JOIN bg ON bg.n = dp.n AND bg.g = array_to_string(dp.w[dp.p : dp.p + dp.n - 1], ' ')),
+hw AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS i FROM h) GROUP BY r),
+hi AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hw.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(hi.n_items, 0)::BIGINT AS n_items, sha256(coalesce(hi.items, '')) AS items_sha256,
+       hw.r IS NOT NULL AS contaminated
+FROM dw LEFT JOIN hw ON dw.r = hw.r LEFT JOIN hi ON dw.r = hi.r
+"""
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t),
@@ -71,6 +102,7 @@ FROM q LEFT JOIN x ON q.row_id = x.row_id
 
 def queries() -> dict:
     return {
+        "op2_decontamination": op2_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_weighted_mix": op7_weighted_mix,
     }
@@ -78,6 +110,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": OP2_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op7_weighted_mix": OP7_SQL,
     }
