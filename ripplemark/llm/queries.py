@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import mixing as _mixing
+from . import simhash as _simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_components(_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH dw AS (
   SELECT doc_id, row_number() OVER () AS r,
@@ -105,6 +110,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_weighted_mix": op7_weighted_mix,
+        "op10_simhash": op10_simhash,
     }
 
 
