@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
+from . import hmm as _hmm
 from . import mixing as _mixing
 from . import simhash as _simhash
 
@@ -33,6 +34,10 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_components(_table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_weighted_mix": op7_weighted_mix,
+        "op9_hmm_score": op9_hmm_score,
         "op10_simhash": op10_simhash,
     }
 
