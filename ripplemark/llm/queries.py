@@ -11,6 +11,7 @@ from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import hmm as _hmm
 from . import mixing as _mixing
+from . import quality as _quality
 from . import simhash as _simhash
 
 
@@ -18,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.rate(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _quality.label_grade(), _quality.N_GRADES
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -112,6 +119,7 @@ FROM q LEFT JOIN x ON q.row_id = x.row_id
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
         "op2_decontamination": op2_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_weighted_mix": op7_weighted_mix,
