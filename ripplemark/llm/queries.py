@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import hmm as _hmm
+from . import html_text as _html
 from . import mixing as _mixing
 from . import quality as _quality
+from . import secrets as _secrets
 from . import simhash as _simhash
 
 
@@ -35,6 +37,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.digest_of(_secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source"
@@ -121,7 +131,9 @@ def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op2_decontamination": op2_decontamination,
+        "op4_secrets": op4_secrets,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_html_text": op6_html_text,
         "op7_weighted_mix": op7_weighted_mix,
         "op9_hmm_score": op9_hmm_score,
         "op10_simhash": op10_simhash,
