@@ -6,15 +6,18 @@ Each takes (spark, sf_dir) and covers its whole table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import hmm as _hmm
 from . import html_text as _html
+from . import licenses as _licenses
 from . import mixing as _mixing
 from . import quality as _quality
 from . import secrets as _secrets
 from . import simhash as _simhash
+from . import warc as _warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.scan(_table(spark, sf_dir, "documents"), path=_licenses.document_path())
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.digest_of(_secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -51,6 +58,12 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _warc.resolve_revisits(_warc.captures(_table(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "url", "response_id", "outcome", F.array_join(pairs, ";").alias("headers"))
+
+
 def op9_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hmm.score(_table(spark, sf_dir, "documents"))
 
@@ -126,15 +139,43 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(x.taken, 0)::BIGINT A
 FROM q LEFT JOIN x ON q.row_id = x.row_id
 """
 
+OP8_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(trim(url), '#.*$', '') AS b FROM pages WHERE page_id IS NOT NULL),
+p AS (
+  SELECT page_id, html,
+         lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
+         regexp_replace(regexp_replace(lower(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') ||
+         regexp_replace(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS head,
+         list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(?i:utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS q
+  FROM u),
+c AS (
+  SELECT page_id, head || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url,
+         md5(html) AS tag, length(html) AS n, page_id * 10 AS at,
+         CASE WHEN page_id % 5 = 0 THEN page_id * 10 - 5 ELSE page_id * 10 + (page_id % 97 + 1) * 10 + 5 END AS later
+  FROM p),
+j AS (
+  SELECT v.page_id, v.url, v.tag, v.later, r.page_id AS rid, r.tag AS rtag, r.n AS rn, r.at AS rat
+  FROM c v ASOF LEFT JOIN c r ON v.url = r.url AND v.later > r.at)
+SELECT page_id * 2 + 1 AS record_id, url, rid * 2 AS response_id,
+       CASE WHEN rid IS NULL THEN 'missing' WHEN tag = rtag THEN 'resolved' ELSE 'changed' END AS outcome,
+       CASE WHEN tag = rtag THEN 'cache-control=max-age=60;content-length=' || rn || ';content-type=text/html;date=' || later
+         || ';etag=W/"' || tag || '";expires=' || (later + 600) END AS headers
+FROM j
+"""
+
 
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op2_decontamination": op2_decontamination,
+        "op3_licenses": op3_licenses,
         "op4_secrets": op4_secrets,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_html_text": op6_html_text,
         "op7_weighted_mix": op7_weighted_mix,
+        "op8_warc_revisits": op8_warc_revisits,
         "op9_hmm_score": op9_hmm_score,
         "op10_simhash": op10_simhash,
     }
@@ -145,4 +186,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": OP2_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op7_weighted_mix": OP7_SQL,
+        "op8_warc_revisits": OP8_SQL,
     }
