@@ -12,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed pattern of a word: digits, lower-case letters and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from .words import ascii_lower, between
+
+#: Fixed: what separates words, once A to Z are in lower case; words are digits, letters and everything beyond ASCII.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows of the benchmark that may be broadcast; about 150 bytes each.
 MAX_BROADCAST_WINDOWS = 500_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text with A to Z in lower case; null and empty texts have none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return between(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS)
 
 
 def _gram(words: str, start: Column, n: int) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
+from .words import ascii_lower, between
 
 #: Fixed texts of notices, as their owners word them.
 TEMPLATES = (
@@ -53,14 +54,13 @@ TEMPLATES = (
     ("LicenseRef-proprietary", "All rights reserved."),
 )
 LEAST = 0.7
-_TERM = r"[a-z0-9]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM, _NO_TERM = r"[a-z0-9]+", r"[^a-z0-9]+"
 #: Name of a licence file.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_TERM), F.lit(0))
+    return between(ascii_lower(text), _NO_TERM)
 
 
 class Vectors:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
+from .words import BLANKS, between
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -25,12 +26,10 @@ _SLICES = 4096
 #: Buckets of finish time for each unit of it, and in all.
 _TICKS, _LAST_TICK = 2048, 4095
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and tab to carriage return; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(between(F.coalesce(text, F.lit("")), BLANKS)).cast("long")
 
 
 def _running(by: list[str], order: list[Column], of: str) -> Column:
