@@ -23,8 +23,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Buckets of the shuffled order: as many as three hex digits tell apart.
 _SLICES = 4096
-#: Buckets of finish time for each unit of it, and in all.
-_TICKS, _LAST_TICK = 2048, 4095
+#: Buckets of finish time: so many a unit up to 2, then so many for each doubling.
+_TICKS, _TICKS_LATER = 2048, 1024
 
 
 def n_words(text: Column) -> Column:
@@ -73,6 +73,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     )
 
 
+def _tick(finish: Column) -> Column:
+    """Range bucket of a finish time. The budget ends near 1, so buckets beyond 2 are only there to be left
+    out; but a source far above its target has most of its rows there, and they must not meet in one."""
+    later = F.floor(F.log2(finish / 2) * _TICKS_LATER) + 2 * _TICKS
+    return F.when(finish < 2, F.floor(finish * _TICKS)).otherwise(later).cast("int")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -119,7 +126,7 @@ def mix(
         queued.where("_size > 0")
         .select("_row", "_source", "_key", "_size", "_before", "_upto", "source_size", "target", turn)
         .select("_row", "_source", "_key", "_size", (served.cast("double") / F.col("target")).alias("_finish"))
-        .withColumn("_tick", F.least(F.floor(F.col("_finish") * _TICKS), F.lit(_LAST_TICK)).cast("int"))
+        .withColumn("_tick", _tick(F.col("_finish")))
     )
     total = sources.agg(F.floor(F.sum("target")).alias("_budget"))
     ticks = (
