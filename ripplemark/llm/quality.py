@@ -88,12 +88,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     """
     if not len(rows):
         return Classifier(np.zeros(dimensions), np.full(n_grades - 1, -4.0) + np.arange(n_grades - 1) * 1e-3)
-    slots, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
-    sizes = np.array([len(r[0]) for r in rows])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    of_row, n = np.repeat(np.arange(len(rows)), sizes), len(rows)
-    common = np.bincount(slots, minlength=dimensions) >= max(3, LEAST_SHARE * n)
-    values = values * common[slots]
+    n, held = len(rows), np.zeros(dimensions, np.int64)
+    for r in rows:
+        held[r[0]] += 1  # slots of a row are distinct but for collisions, which count once
+    common = held >= max(3, LEAST_SHARE * n)
+    rows = [(r[0][m], r[1][m]) for r in rows for m in [common[r[0]]]]
+    slots, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    of_row = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
+    del rows
     share = np.array([((grades >= k).sum() + 1) / (n + 2) for k in range(1, n_grades)])
     cuts = np.log((1 - share) / share)
     # thresholds as a first one and positive gaps, so they stay in order
@@ -105,9 +107,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         if step == STEPS - REFIT:  # the features that are left, without the penalty that chose them
             common &= np.abs(weights) >= RATE
             weights[~common] = 0
-            values = values * common[slots]
+            left = common[slots]
+            slots, values, of_row = slots[left], values[left], of_row[left]
         cuts = np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
-        score = np.add.reduceat(weights[slots] * values, starts)
+        score = np.bincount(of_row, weights=weights[slots] * values, minlength=n)
         edges = padded(cuts)
         above = 1 / (1 + np.exp(np.clip(edges[grades] - score, -500, 500)))  # P(grade >= own)
         beyond = 1 / (1 + np.exp(np.clip(edges[grades + 1] - score, -500, 500)))  # P(grade > own)
@@ -144,9 +147,11 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(0), *parts], ["grade", "slots", "values"])
 
     got = rows.mapInArrow(run, "grade int, slots binary, values binary").limit(2 * sample).collect()
-    got = sorted(got, key=lambda r: (r["grade"], r["slots"], r["values"]))
+    got.sort(key=lambda r: (r["grade"], r["slots"], r["values"]))
     grades = np.clip(np.array([r["grade"] for r in got], np.int64), 0, n_grades - 1)
-    return fit([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in got], grades, n_grades, dimensions)
+    rows = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in got]
+    del got
+    return fit(rows, grades, n_grades, dimensions)
 
 
 def _scored(docs: DataFrame, text_col: str, model: Classifier, dimensions: int, keep: list[str]) -> DataFrame:
