@@ -64,6 +64,13 @@ class _Classes(dict):
         return found
 
 
+class _Places(dict):
+    """Place of a frequent word in the list of them, -1 of any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Model:
     """start (K), move (K x K), emit (K x classes + 1): rows sum to one."""
 
@@ -309,31 +316,35 @@ def score(
     model = train(encoded.df, mass, states, rounds if n_docs else 0)
     encoded.drop()
     least = _hot_from(counts, hot_words)
-    hot = {r["word"].encode(): r["c"] for r in counts.where(F.col("c") >= least).toLocalIterator()}  # at most `hot_words`
-    sent = spark.sparkContext.broadcast((model.start, model.move, model.emit / mass, hot))
+    hot = [(r["word"].encode(), r["c"]) for r in counts.where(F.col("c") >= least).toLocalIterator()]  # at most `hot_words`
+    sent = spark.sparkContext.broadcast(
+        (model.start, model.move, model.emit / mass, [w for w, _ in hot], np.log10(np.array([c for _, c in hot], np.float64) + 1))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit, frequent = sent.value
+        start, move, emit, frequent, frequent_logs = sent.value
+        places = _Places((w, i) for i, w in enumerate(frequent))
+        place_class = np.array([xxhash.xxh64_intdigest(w, _SEED) & (classes - 1) for w in frequent], np.int32)
         known = _Classes(classes)
         for b, texts in _sorted_batches(batches, 0):
             ids, sizes, logs, hits, words, times, offsets = [], [], [], [], [], [], [0]
             for text in texts:
                 tokens = words_of(text)
+                place = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
+                others = np.flatnonzero(place < 0)
+                rest = [tokens[i] for i in others.tolist()]
                 of = np.empty(len(tokens) + 1, np.int32)
-                of[:-1] = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+                if len(rest) < len(tokens):
+                    of[:-1] = place_class[place]
+                of[others] = np.fromiter(map(known.__getitem__, rest), np.int64, len(rest))
                 of[-1] = classes
                 ids.append(of)
-                log, hit = math.log10(n_docs + 1), n_docs > 0
-                for w, n in Counter(tokens).items():
-                    if c := frequent.get(w):
-                        log += n * math.log10(c + 1)
-                        hit += n
-                    else:
-                        words.append(w)
-                        times.append(n)
+                for w, n in Counter(rest).items():
+                    words.append(w)
+                    times.append(n)
                 sizes.append(len(of))
-                logs.append(log)
-                hits.append(int(hit))
+                logs.append(math.log10(n_docs + 1) + float(frequent_logs[place[place >= 0]].sum()))
+                hits.append(len(tokens) - len(rest) + (n_docs > 0))
                 offsets.append(len(words))
             pairs = pa.StructArray.from_arrays(
                 [pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"]
