@@ -54,14 +54,16 @@ def python_package(module: Column) -> Column:
 
 
 def forward_half(sql: Column) -> Column:
-    """A migration up to its Down marker, with all of the line breaks before it."""
-    return F.regexp_extract(sql, r"(?is)^(.*?)(?:^[ \t]*--[^\n]*\bdown\b[^\n]*$|\z)".replace("(?is)", "(?ism)"), 1)
+    """A migration up to the line that marks the way down."""
+    down = r"(?im)^\s*--\s*(?:migrate:down|\+migrate\s+down|\+goose\s+down|down\s+migration)\b"
+    at = F.regexp_instr(sql, F.lit(down))
+    return F.when(at > 0, F.substring(sql, F.lit(1), at - 1)).otherwise(sql)
 
 
 def target_table(statement: Column) -> Column:
     """Lower-case table that a definition is about: the word after TABLE and what may stand between."""
-    word = F.regexp_extract(statement, r"(?is)\btable\s+(?:(?:if|not|exists|only)\s+)*([^\s(;]+)", 1)
-    return F.when(word != "", F.lower(F.regexp_replace(word, r'^"+|"+$', "")))
+    word = F.regexp_extract(statement, r"(?is)(?:^|\s)table\s+(?:(?:if|not|exists|only)\s+)*(\S+)", 1)
+    return F.when(word != "", F.lower(F.regexp_replace(word, r'^["(]+|["(]+$', "")))
 
 
 def excerpt(line: Column, most: int = 90) -> Column:

@@ -28,9 +28,9 @@ def owning_package(files: DataFrame, packages: DataFrame, keys: tuple[str, ...]
         F.struct((F.col("kind").eqNullSafe(F.col("of_kind"))).alias("same"), F.length("up").alias("depth"), (-F.col("ord")).alias("o"), F.col("name").alias("name"))
     )
     chosen = above.join(found, [*keys, "up"]).groupBy(*keys, "dir", "kind").agg(best.alias("b"))
-    chosen = chosen.select(*keys, "dir", F.col("kind").alias("k"), F.col("b.name").alias("package"))
-    on = [by_dir[c] == chosen[c] for c in (*keys, "dir")] + [by_dir["kind"].eqNullSafe(chosen["k"])]
-    return by_dir.join(chosen, on, "left").select(*[by_dir[c] for c in files.columns], "package")
+    chosen = chosen.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "dir", "kind")], F.col("b.name").alias("package"))
+    on = [F.col(c) == F.col(f"_{c}") for c in (*keys, "dir")] + [F.col("kind").eqNullSafe(F.col("_kind"))]
+    return by_dir.join(chosen, on, "left").select(*files.columns, "package")
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int = 64) -> DataFrame:
