@@ -28,7 +28,7 @@ def check_version(document: dict) -> None:
 
 def of_plan(plan: Plan, rule_set: rules.RuleSet, sarif_results: DataFrame | None = None) -> DataFrame:
     """Findings of a plan at hand."""
-    changed = plan.functions.withColumns({"id": F.col("node"), "name": F.coalesce("name", "label")})
+    changed = plan.functions.withColumns({"id": F.col("node"), "name": F.coalesce("route", "name", "label")})
     symbols = plan.symbols.select("id", "called_from_packages", "reach_functions", "reach_files", "reach_packages", "reach_entries")
     return _assess(plan.files, changed, symbols, plan.texts, rule_set, sarif_results)
 

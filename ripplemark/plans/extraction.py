@@ -15,7 +15,7 @@ from ripplemark.functions.extract import extract
 from ripplemark.functions.extract.facts import Facts
 from ripplemark.tables import cut
 
-FACTS = T._parse_datatype_string(
+FACTS = (
     "path string, hash string, functions array<struct<idx: int, parent: int, owner: int, name: string, exported: boolean, method: boolean, "
     "start_line: int, end_line: int, body_hash: string, route: string, calls: array<struct<call: string, line: int>>>>, "
     "imports array<struct<local: string, specifier: string, kind: string, imported: string>>, specifiers array<string>, "
@@ -53,7 +53,7 @@ def facts(files: DataFrame) -> DataFrame:
     """(rev, path, hash, …facts) of source files that are neither tests nor in skipped directories."""
     keep = paths.is_source(F.col("path")) & ~paths.is_test(F.col("path")) & ~paths.is_skipped(F.col("path"))
     sources = files.where(keep).withColumn("hash", F.md5("text"))
-    schema = to_arrow_schema(FACTS)
+    schema = to_arrow_schema(T._parse_datatype_string(FACTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

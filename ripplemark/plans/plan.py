@@ -88,7 +88,7 @@ def make(texts: DataFrame, reported: DataFrame | None = None, sites: DataFrame |
     module = edges.select(F.col("caller").alias("node")).where(F.col("caller").rlike("::module@\\d+$")).distinct()
     module = module.select("node", F.regexp_extract("node", "^(.*)::", 1).alias("path"), F.regexp_extract("node", "::(module@\\d+)$", 1).alias("label")).join(places, "path", "left")
     at = F.regexp_extract("label", r"(\d+)$", 1).cast("int")
-    module = module.select("node", "label", F.col("label").alias("name"), "path", "package", F.lit(False).alias("exported"), F.lit(None).cast("string").alias("route"), F.lit(None).cast("string").alias("prefix"), at.alias("start_line"), at.alias("end_line"), F.lit("head").alias("side"))
+    module = module.select("node", "label", F.concat(paths.basename(F.col("path")), F.lit(" · module level")).alias("name"), "path", "package", F.lit(False).alias("exported"), F.lit(None).cast("string").alias("route"), F.lit(None).cast("string").alias("prefix"), at.alias("start_line"), at.alias("end_line"), F.lit("head").alias("side"))
     nodes = head_fn.unionByName(lost).unionByName(module).join(change, "node", "left").withColumn("change", F.coalesce("change", F.lit("unchanged")))
     nodes = nodes.withColumn("explored", F.lit(True)).withColumn(
         "route", F.when(F.col("route").isNotNull(), F.concat(F.substring_index("route", " ", 1), F.lit(" "), F.regexp_replace(F.concat(F.coalesce("prefix", F.lit("")), F.substring_index("route", " ", -1)), r"(?<=.)/$", "")))
@@ -122,7 +122,7 @@ def report(plan: Plan, base: str = "base", head: str | None = None, hops: int =
     moved_first = F.when(F.col("change") == "unchanged", 1).otherwise(0)
     placed = F.when(F.col("change") != "unchanged", F.col("start_line")).otherwise(0)
     for f in rows(plan.functions, moved_first, F.when(F.col("change") != "unchanged", F.col("path")).otherwise(""), placed, "node"):
-        item = {"id": f["node"], "name": f["name"] or f["label"], "path": f["path"], "range": {"start": f["start_line"], "end": f["end_line"]}, "side": f["side"], "change": f["change"], "package": f["package"], "exported": f["exported"]}
+        item = {"id": f["node"], "name": f["route"] or f["name"] or f["label"], "path": f["path"], "range": {"start": f["start_line"], "end": f["end_line"]}, "side": f["side"], "change": f["change"], "package": f["package"], "exported": f["exported"]}
         functions.append(item | {k: f[k] for k in ("route", "entry") if f[k] is not None})
     calls = []
     for c in rows(plan.calls, "caller", "callee"):

@@ -236,7 +236,7 @@ def resolve(facts: DataFrame, files: DataFrame, packages: DataFrame, manifests:
     if reported is not None:
         resolved = _with_reported(resolved, reported, fn)
     mounted = _mounted(facts, imports, to_file, fn)
-    edges = resolved.unionByName(_rpc(facts, fn, mounted))
+    edges = resolved.unionByName(_rpc(facts, fn, mounted)).unionByName(_nested(fn))
     if sites is not None:
         edges = edges.unionByName(_seams(sites, fn))
     edges = edges.where("caller <> callee").groupBy("rev", "caller", "callee").agg(F.min("line").alias("line"), F.bool_and("inferred").alias("inferred"), F.bool_or("external").alias("external"))
@@ -303,6 +303,17 @@ def _mounted(facts: DataFrame, imports: DataFrame, to_file: DataFrame, fn: DataF
     )
 
 
+def _nested(fn: DataFrame) -> DataFrame:
+    """A function stands before the named and routed ones inside it."""
+    around = fn.select("rev", "path", F.col("idx").alias("parent"), F.col("owner").alias("o"))
+    label = fn.select("rev", "path", F.col("idx").alias("o"), F.col("label").alias("outer"))
+    inner = fn.where("owner = idx AND parent IS NOT NULL").join(around, ["rev", "path", "parent"]).join(label, ["rev", "path", "o"])
+    return inner.select(
+        "rev", "path", F.col("start_line").alias("line"), F.col("label").alias("call"), code.node_id(F.col("path"), F.col("outer")).alias("caller"),
+        code.node_id(F.col("path"), F.col("label")).alias("callee"), F.lit(False).alias("inferred"), F.lit(False).alias("external"),
+    )
+
+
 def _rpc(facts: DataFrame, fn: DataFrame, mounted: DataFrame) -> DataFrame:
     """Calls of typed clients, joined to the handlers of their routes."""
     calls = facts.select("rev", "path", F.explode("rpc_calls").alias("c")).select("rev", "path", "c.line", F.col("c.method").alias("method"), F.col("c.path").alias("call_path"))
