@@ -14,11 +14,13 @@ import argparse
 import json
 import os
 import shutil
+import subprocess
 import sys
 import tempfile
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ripplemark.operators import rules
 from ripplemark.plans import aligned, assess, plan, resolve
@@ -54,14 +56,20 @@ def _sites(texts: DataFrame, config: str | None) -> DataFrame | None:
 
 
 def _reported(spark: SparkSession, root: str, config: str | None) -> DataFrame | None:
-    """What resolvers of the config have written for the head: each names a file of ``site target`` lines."""
-    from pyspark.sql import functions as F
-
+    """What the resolvers of the config say of the head: each is a command that prints ``site target`` lines, or
+    names a file of them. One that fails says nothing, but why."""
     found = None
     for r in tomllib.loads(config or "").get("resolver", []):
         if "output" in r:
-            rows = resolver.read(spark, os.path.join(root, r["output"]), root).withColumn("rev", F.lit("head"))
-            found = rows if found is None else found.unionByName(rows)
+            rows = resolver.read(spark, os.path.join(root, r["output"]), root)
+        else:
+            done = subprocess.run(r["command"], cwd=root, capture_output=True, text=True)
+            if done.returncode:
+                print(f"resolver {r['command'][0]}: {done.stderr.strip()}", file=sys.stderr)
+                continue
+            rows = resolver.parse(spark.createDataFrame([(x,) for x in done.stdout.splitlines()], "value string"), root)
+        rows = rows.withColumn("rev", F.lit("head"))
+        found = rows if found is None else found.unionByName(rows)
     return found
 
 

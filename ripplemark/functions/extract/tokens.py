@@ -221,7 +221,8 @@ def _on_the_way_out(scan: Scan, at: int, loop: Loop, ends, exits: set[str], retu
         if scan.is_op(block, "{"):
             starts = statement_starts(scan, block, scan.end(block), ends)
             k = bisect_right(starts, at) - 1
-            if k >= 0 and scan.is_word(starts[k], *returns):
+            # ``if (x) return await y`` leaves too, without a block of its own
+            if k >= 0 and any(scan.is_word(i, *returns) and scan.around[i] == block for i in range(starts[k], at)):
                 return True
             if 0 <= k + 1 < len(starts) and scan.is_word(starts[k + 1], *exits):
                 return True

@@ -114,9 +114,49 @@ def ranks(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
     return ranked
 
 
-def visible_callees(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Edges that stay in view: those of unchanged status only where a changed caller isn't the only reason to look."""
-    return edges.join(changed.select(F.col("node").alias("caller")), "caller", "left_semi").where("status <> 'unchanged'")
+def visible_edges(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """Edges in view when unchanged callees are hidden: all into what changed, and of the others those that a
+    changed caller newly makes or no longer makes, with what stays in view below them."""
+    moved = changed.select("node").distinct()
+    to_changed = edges.join(moved.withColumnRenamed("node", "callee"), "callee", "left_semi").select(edges.columns)
+    from_changed = edges.join(moved.withColumnRenamed("node", "caller"), "caller", "left_semi").where("status <> 'unchanged'").select(edges.columns)
+    return to_changed.unionByName(from_changed).distinct()
+
+
+def collapsed(edges: DataFrame, revealed: DataFrame, node: str) -> DataFrame:
+    """Edges without what was revealed from a node; ``revealed`` has (node, parent)."""
+    below = downstream(revealed.select(F.col("parent").alias("caller"), F.col("node").alias("callee")), revealed.sparkSession.createDataFrame([(node,)], "node string"))
+    gone = below.where("level > 0").select("node")
+    return edges.join(gone.withColumnRenamed("node", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("node", "callee"), "callee", "left_anti").select(edges.columns)
+
+
+def distances(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
+    """(node, level): hops from the nearest origin, either way along the edges."""
+    both = edges.select("caller", "callee").unionByName(edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")))
+    return upstream(both, origins, levels)
+
+
+def around(edges: DataFrame, origins: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) within so many hops up or down, each way on its own: node, level, direction."""
+    up = upstream(edges, origins, hops).withColumn("direction", F.when(F.col("level") == 0, "origin").otherwise("up"))
+    down = downstream(edges, origins, hops).where("level > 0").withColumn("direction", F.lit("down"))
+    nodes = cut(up.unionByName(down))
+    seen = nodes.select("node").distinct()
+    inside = edges.join(seen.withColumnRenamed("node", "caller"), "caller", "left_semi").join(seen.withColumnRenamed("node", "callee"), "callee", "left_semi")
+    return nodes, inside.select(edges.columns)
+
+
+def depths(units: DataFrame, most: int = 64) -> DataFrame:
+    """(path, idx, depth): how many units stand around each. Needs path, idx, parent."""
+    known = cut(units.where("parent IS NULL").select("path", "idx", F.lit(0).alias("depth")))
+    frontier = known
+    inner = units.where("parent IS NOT NULL").select("path", "idx", "parent")
+    for depth in range(1, most + 1):
+        frontier = cut(inner.join(frontier.select("path", F.col("idx").alias("parent")), ["path", "parent"]).select("path", "idx", F.lit(depth).alias("depth")))
+        if frontier.isEmpty():
+            break
+        known = cut(known.unionByName(frontier))
+    return known
 
 
 def folded(edges: DataFrame, into: DataFrame) -> DataFrame:

@@ -153,3 +153,14 @@ def renames(base: DataFrame, head: DataFrame) -> DataFrame:
 def change_kind(status: Column) -> Column:
     """Change of a status letter."""
     return F.when(status.isin("A", "C"), "added").when(status == "D", "deleted").when(status == "R", "renamed").otherwise("modified")
+
+
+def text_references(lines: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines that mention a name as ``alias.label(``: ``names`` has ``keys``, alias and label; ``lines`` keys, line, text.
+
+    Every dotted pair of words of a line is listed once, so mentions meet names by equality.
+    """
+    pair = r"(?<![\w$.])([A-Za-z_$][\w$]*\.[A-Za-z_$][\w$]*)"
+    said = lines.select(*lines.columns, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pair), F.lit(1)))).alias("_said"))
+    wanted = names.withColumn("_said", F.concat("alias", F.lit("."), "label"))
+    return said.join(wanted, [*keys, "_said"]).drop("_said")

@@ -174,3 +174,40 @@ def to_text(document: dict) -> str:
     out += ["", f"Reach: {r['functions']} functions in {r['files']} files / {len(r['packages'])} packages, entry points: {kinds or 'none'}"]
     out.append("  " + "   ".join(f"{p['package']} ← {p['functions']}" for p in r["packages"][:8]))
     return "\n".join(out)
+
+
+def impact(plan: Plan, base: str = "base", head: str | None = None) -> dict:
+    """The older report: for each entry point a shortest chain down to a change, and all changes it reaches."""
+    entries = plan.entries.join(plan.chains, "node")
+    chains = []
+    for r in entries.orderBy("kind", "node").collect():
+        hops = list(reversed(r["chain"]))
+        chains.append({"entry": r["node"], "kind": r["kind"], "changed": hops[-1], "hops": hops})
+    packages = {}
+    for r in plan.functions.groupBy(F.coalesce("package", F.lit(aggregates.OUTSIDE)).alias("p")).agg(
+        F.count_if(F.col("change") != "unchanged").alias("changed"), F.count_if(F.col("change") == "unchanged").alias("affected")
+    ).orderBy("p").collect():
+        packages[r["p"]] = {"changed": r["changed"], "affected": r["affected"]}
+    nodes = plan.functions.select("node", "package", "route")
+    crossings = [r.asDict() for r in aggregates.package_crossings(plan.calls, nodes).orderBy("from_package", "to_package").collect()]
+    return {"version": 1, "base": base, "head": head, "chains": chains, "packages": packages, "crossings": crossings}
+
+
+def model(plan: Plan, document: dict) -> str:
+    """Nodes, edges and whole-file differences as JSON that may stand inside a page's script."""
+    from ripplemark.functions.extract import lines
+
+    shown = sorted({f["path"] for f in document["functions"]})
+    texts = {(r["rev"], r["path"]): r["text"] for r in plan.texts.where(F.col("path").isin(shown)).collect()}
+    diffs = {p: lines.rows(texts.get(("base", p)), texts.get(("head", p))) for p in shown}
+    return json.dumps({"nodes": document["functions"], "edges": document["calls"], "diffs": diffs}, ensure_ascii=False).replace("<", "\\u003c")
+
+
+def to_html(plan: Plan, document: dict) -> str:
+    """A page with the model and a plain listing of it."""
+    return (
+        '<!DOCTYPE html><meta charset="utf-8"><title>change impact</title><pre id="out"></pre>\n'
+        f'<script type="application/json" id="model">{model(plan, document)}</script>\n'
+        "<script>const m=JSON.parse(document.getElementById('model').textContent);"
+        "document.getElementById('out').textContent=m.nodes.map(n=>n.change+' '+n.id).join('\\n');</script>\n"
+    )

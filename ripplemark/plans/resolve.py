@@ -57,7 +57,8 @@ def _ts_files(specs: DataFrame, files: DataFrame, packages: DataFrame, manifests
     fits = F.when(F.col("a.exact"), spec == F.col("a.prefix")).otherwise(F.startswith("specifier", F.col("a.prefix")))
     aliased = bare.withColumn("d", dir_).join(near, "d").where(fits).select(
         "rev", "path", "specifier", (F.col("i") + 10).alias("r"),
-        paths.normalised(F.concat("up", F.lit("/"), "a.target", F.when(F.col("a.exact"), "").otherwise(F.expr("substring(specifier, length(a.prefix) + 1)")))).alias("b"),
+        # a target with a leading slash is written from the root
+        paths.normalised(F.concat(F.when(F.startswith("a.target", F.lit("/")), "").otherwise(F.col("up")), F.lit("/"), "a.target", F.when(F.col("a.exact"), "").otherwise(F.expr("substring(specifier, length(a.prefix) + 1)")))).alias("b"),
     )
     named = bare.withColumn("name", code.js_package(spec)).join(js.select("rev", "name", "dir", "entries"), ["rev", "name"])
     sub = F.expr("substring(specifier, length(name) + 2)")

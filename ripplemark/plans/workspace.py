@@ -15,10 +15,12 @@ from ripplemark.functions import paths
 from ripplemark.functions.extract.go import module_path
 from ripplemark.tables import cut
 
-_MANIFEST = r"(^|/)(package\.json|pnpm-workspace\.yaml|go\.mod|pyproject\.toml|setup\.py|setup\.cfg|tsconfig\.json|jsconfig\.json)$"
+_MANIFEST = r"(^|/)(package\.json|pnpm-workspace\.yaml|go\.mod|pyproject\.toml|setup\.py|setup\.cfg|tsconfig[^/]*\.json|jsconfig\.json)$"
 #: Fixed: entries that are tried where a package names none.
 _GUESSES = ("src/index.ts", "src/index.tsx", "index.ts", "index.js")
-_SCHEMA = "rev string, dir string, kind string, name string, deps array<string>, entries array<string>, globs array<string>, aliases array<struct<prefix: string, exact: boolean, target: string>>"
+_SCHEMA = "rev string, dir string, kind string, name string, deps array<string>, entries array<string>, globs array<string>, aliases array<struct<prefix: string, exact: boolean, target: string>>, path string, extends string"
+#: Configurations that one may extend in turn.
+_EXTENDS = 4
 
 
 def _exports(value) -> list[str]:
@@ -87,7 +89,8 @@ def _python(base: str, text: str) -> dict | None:
 def _aliases(text: str) -> dict | None:
     bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
     try:
-        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
+        config = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare))
+        options, extends = config.get("compilerOptions") or {}, config.get("extends")
     except (ValueError, AttributeError):
         return None
     base = (options.get("baseUrl") or ".").removeprefix("./")
@@ -96,7 +99,7 @@ def _aliases(text: str) -> dict | None:
         for t in targets:
             target = f"{base}/{t}" if base not in ("", ".") else t
             out.append({"prefix": pattern.removesuffix("*"), "exact": not pattern.endswith("*"), "target": target.removesuffix("*")})
-    return {"kind": "aliases", "aliases": out}
+    return {"kind": "aliases", "aliases": out, "extends": extends if isinstance(extends, str) and extends.startswith(".") else None}
 
 
 def _manifest(path: str, text: str) -> dict | None:
@@ -107,7 +110,7 @@ def _manifest(path: str, text: str) -> dict | None:
         return _pnpm(text)
     if base == "go.mod":
         return {"kind": "gomod", "name": module_path(text)}
-    if base in ("tsconfig.json", "jsconfig.json"):
+    if re.fullmatch(r"(tsconfig.*|jsconfig)\.json", base):
         return _aliases(text)
     return _python(base, text)
 
@@ -126,10 +129,30 @@ def manifests(files: DataFrame) -> DataFrame:
             out = []
             for rev, path, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (found := _manifest(path, text)) is not None:
-                    out.append({"rev": rev, "dir": path.rpartition("/")[0], **found})
+                    out.append({"rev": rev, "dir": path.rpartition("/")[0], "path": path, **found})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return cut(rows.mapInArrow(run, schema))
+    found = cut(rows.mapInArrow(run, schema))
+    return cut(_extended(found))
+
+
+def _extended(found: DataFrame) -> DataFrame:
+    """Configurations without aliases of their own take those of the one they extend, whose directory counts.
+    What is only extended and is not a directory's own configuration goes."""
+    config = found.where("kind = 'aliases'")
+    for _ in range(_EXTENDS):
+        target = paths.normalised(F.concat("dir", F.lit("/"), "extends"))
+        json_name = F.when(F.endswith(target, F.lit(".json")), target).otherwise(F.concat(target, F.lit(".json")))
+        above = config.select("rev", F.col("path").alias("_path"), F.col("dir").alias("_dir"), F.col("aliases").alias("_aliases"), F.col("extends").alias("_extends"))
+        step = config.withColumn("_path", F.when(F.size("aliases") == 0, json_name)).join(above, ["rev", "_path"], "left")
+        inherits = F.col("_dir").isNotNull()
+        lifted = F.transform("_aliases", lambda a: F.struct(a["prefix"].alias("prefix"), a["exact"].alias("exact"), paths.normalised(F.concat("_dir", F.lit("/"), a["target"])).alias("target")))
+        own = F.transform("aliases", lambda a: a)
+        # a taken target is written from the root, and so is marked by a leading slash
+        taken = F.transform(lifted, lambda a: F.struct(a["prefix"].alias("prefix"), a["exact"].alias("exact"), F.concat(F.lit("/"), a["target"]).alias("target")))
+        config = step.withColumn("aliases", F.when(inherits, taken).otherwise(own)).withColumn("extends", F.when(inherits, F.col("_extends"))).select(found.columns)
+    kept = config.where(paths.basename(F.col("path")).isin("tsconfig.json", "jsconfig.json"))
+    return found.where("kind <> 'aliases'").unionByName(kept)
 
 
 def glob_pattern(glob):

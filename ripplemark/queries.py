@@ -312,7 +312,7 @@ def unique_import_method(spark, sf_dir):
 
 
 @query("""WITH req AS (SELECT DISTINCT p_size AS iface, p_brand AS method FROM part WHERE p_size <= 20 AND p_brand <= 'Brand#13'),
-mem AS (SELECT DISTINCT l_suppkey AS type, p_brand AS method FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45),
+mem AS (SELECT DISTINCT l_suppkey AS type, p_brand AS method FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50),
 need AS (SELECT iface, count(*) AS n FROM req GROUP BY iface),
 have AS (SELECT r.iface, m.type, count(*) AS n FROM req r JOIN mem m ON m.method = r.method GROUP BY ALL),
 f AS (SELECT h.iface, h.type FROM have h JOIN need ON need.iface = h.iface AND need.n = h.n)
@@ -320,7 +320,7 @@ SELECT iface, type FROM f WHERE iface IN (SELECT iface FROM f GROUP BY iface HAV
 def interface_division(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     required = part.where("p_size <= 20 AND p_brand <= 'Brand#13'").select(F.col("p_size").alias("iface"), F.col("p_brand").alias("method"))
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").join(part, F.col("p_partkey") == F.col("l_partkey"))
     members = items.select(F.col("l_suppkey").alias("type"), F.col("p_brand").alias("method"))
     return joins.divides(members, required, ["type"], ["iface"], "method", most=8)
 
@@ -755,6 +755,54 @@ def done_files(spark, sf_dir):
     return _progress(spark, sf_dir).where("done").select("path")
 
 
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT caller AS x, callee AS y FROM live UNION SELECT callee, caller FROM live),
+r(node, level) AS (SELECT node, 0 FROM origins UNION SELECT b.y, r.level + 1 FROM r JOIN b ON b.x = r.node WHERE r.level < 2)
+SELECT node, min(level)::INT AS level FROM r GROUP BY node""")
+def undirected_distance(spark, sf_dir):
+    return graph.distances(_live(spark, sf_dir), _origins(spark, sf_dir), 2)
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, u(node, level) AS (SELECT node, 0 FROM origins UNION SELECT l.caller, u.level + 1 FROM u JOIN live l ON l.callee = u.node WHERE u.level < 2),
+d(node, level) AS (SELECT node, 0 FROM origins UNION SELECT l.callee, d.level + 1 FROM d JOIN live l ON l.caller = d.node WHERE d.level < 2)
+SELECT node, min(level)::INT AS level, CASE WHEN min(level) = 0 THEN 'origin' ELSE 'up' END AS direction FROM u GROUP BY node
+UNION ALL SELECT node, min(level)::INT, 'down' FROM d GROUP BY node HAVING min(level) > 0""")
+def file_graph(spark, sf_dir):
+    return graph.around(_live(spark, sf_dir), _origins(spark, sf_dir), 2)[0]
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT DISTINCT caller, callee, status FROM calls WHERE callee IN (SELECT node FROM origins)
+UNION SELECT DISTINCT caller, callee, status FROM calls WHERE caller IN (SELECT node FROM origins) AND status <> 'unchanged'""")
+def visible_edges(spark, sf_dir):
+    return graph.visible_edges(virtual.calls(spark, sf_dir), _origins(spark, sf_dir))
+
+
+@query("""SELECT 'o' || o_orderkey AS idx, 'x' AS path, 2 AS depth FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'c' || c_custkey, 'x', 1 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'x', 0 FROM nation""")
+def nesting_depth(spark, sf_dir):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    units = (
+        orders.select(key("o", "o_orderkey").alias("idx"), key("c", "o_custkey").alias("parent"))
+        .unionByName(customer.select(key("c", "c_custkey").alias("idx"), key("n", "c_nationkey").alias("parent")))
+        .unionByName(nation.select(key("n", "n_nationkey").alias("idx"), F.lit(None).cast("string").alias("parent")))
+    )
+    return graph.depths(units.withColumn("path", F.lit("x")))
+
+
+@query(r"""WITH w AS (SELECT source, min(regexp_extract(lower(text), '^([a-z]+) ', 1)) AS alias FROM documents WHERE regexp_matches(lower(text), '^[a-z]+ ') GROUP BY source),
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, alias, count(DISTINCT line) AS n FROM l JOIN w USING (source) GROUP BY ALL""")
+def reference_callers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    first = F.regexp_extract(F.lower("text"), "^([a-z]+) ", 1)
+    names = docs.where(first != "").groupBy("source").agg(F.min(first).alias("alias"))
+    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("line"))
+    said = lines.join(names, "source").select(
+        "doc_id", "source", "line", F.concat("line", F.lit(" see "), "alias", F.lit(".run( and "), "alias", F.lit(".stop, not x."), "alias", F.lit(".run")).alias("text")
+    )
+    found = joins.text_references(said, names.withColumn("label", F.lit("run")), ["source"])
+    return found.groupBy("doc_id", "alias").agg(F.count_distinct("line").alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which changed functions reach furthest."""
     return _symbols(spark, sf_dir).orderBy(F.desc("reach_functions"), "id")
