@@ -39,6 +39,8 @@ _NAMES = set(
     notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login search social share
     sharing related recommended comment comments disqus reply replies respond discussion pagination pager toolbar""".split()
 )
+#: What begins names that speak of another part, and names that within an article are its own heading.
+_NOT_ITSELF, _TOP = {"no", "has", "with", "without", "is", "js"}, {"header", "masthead", "banner"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _MARKS = re.compile(r"""[.,;:!?"'()’“”«»、。，]""")
 #: Share of the ratios' spread that a content block reaches, and the weights of smoothing.
@@ -48,14 +50,21 @@ THRESHOLD, _KERNEL = 0.5, np.array([0.25, 0.5, 0.25])
 def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     if name in _DROPPED and not (name == "header" and in_article):
         return True
+    if name in ("html", "body", "main", "article"):
+        return False
     for m in _NAMED.finditer(attributes):
-        if any(w.lower() in _NAMES for w in _WORD.findall(m[2] or m[3] or m[4] or "")):
-            return not (name in ("body", "html", "main"))
+        for one in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _WORD.findall(one)]
+            if not words or words[0] in _NOT_ITSELF:
+                continue
+            if any(w in _NAMES and not (in_article and w in _TOP) for w in words):
+                return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, tuple[int, ...], str]]:
-    """(path of names, ids of the open elements, text) of each leaf block that isn't boilerplate."""
+def blocks(html: str, named: bool = True) -> list[tuple[str, tuple[int, ...], str]]:
+    """(path of names, ids of the open elements, text) of each leaf block that isn't boilerplate by its
+    element or, with ``named``, by class, id or role."""
     out: list[tuple[str, tuple[int, ...], str]] = []
     stack: list[tuple[str, int, bool]] = []  # name, id, whether it or one around it is boilerplate
     parts: list[str] = []
@@ -82,7 +91,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], str]]:
         at = m.end()
         name = (m[2] or "").lower()
         if not name or (name in _INLINE and name not in _RAW):
-            if name and not m[1] and _is_boilerplate(name, m[3], True):  # an inline advert or the like
+            if name and not m[1] and _is_boilerplate(name, m[3] if named else "", True):  # an inline advert or the like
                 stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else at
             continue
@@ -114,7 +123,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], str]]:
         flush()
         n += 1
         inside = any(s[0] in ("article", "main") for s in stack)
-        stack.append((name, n, bool(stack) and stack[-1][2] or _is_boilerplate(name, m[3], inside)))
+        stack.append((name, n, bool(stack) and stack[-1][2] or _is_boilerplate(name, m[3] if named else "", inside)))
     flush()
     return out
 
@@ -136,7 +145,7 @@ def content(found: list[tuple[str, tuple[int, ...], str]]) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     """The main text of one page; empty for null, for empty pages and for pages without text."""
-    found = blocks(html or "")
+    found = blocks(html or "") or blocks(html or "", named=False)  # a name around the whole page says nothing
     if not found:
         return ""
     chosen = [i for i, c in enumerate(content(found)) if c]

@@ -290,6 +290,8 @@ def test_main_text_is_the_article():
     assert html_text.main_text(PAGE[: PAGE.index("Third") + 4]) == want[: want.index("Third") + 4]
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == ""
     assert html_text.main_text("just text") == "just text"
+    assert html_text.main_text("<div class=\"page has-sidebar\"><p>kept, all of it.</p><div class=sidebar>gone</div></div>") == "kept, all of it."
+    assert html_text.main_text("<div id=content-menu><p>the only text</p></div>") == "the only text"
     assert html_text.main_text("<p>" + "word, " * 50_000 + "</p>") == ("word, " * 50_000).strip()
 
 
