@@ -184,15 +184,14 @@ def owning_package(spark, sf_dir):
 @query(f"""WITH {LINES_SQL},
 s AS (SELECT path, 'b' || s AS id, idx - idx % s AS a, min(idx - idx % s) + s - 1 AS z FROM base, (VALUES (4), (16), (64)) AS v(s) GROUP BY path, s, idx - idx % s),
 c AS (SELECT h.path, h.idx, s.id, s.a, row_number() OVER (PARTITION BY h.path, h.idx ORDER BY s.z - s.a, s.a DESC) AS r
-      FROM head h JOIN s ON s.path = h.path AND h.idx BETWEEN s.a AND s.z WHERE (h.doc_id + h.idx) % 7 = 0)
+      FROM head h JOIN s ON s.path = h.path AND h.idx BETWEEN s.a AND s.z)
 SELECT path, idx, id, a::INT AS start FROM c WHERE r = 1""")
 def owner_innermost(spark, sf_dir):
     base, head = virtual.lines(spark, sf_dir)
     sized = base.select("path", "idx", F.explode(F.array(F.lit(4), F.lit(16), F.lit(64))).alias("s"))
     spans = sized.select("path", F.concat(F.lit("b"), F.col("s").cast("string")).alias("id"), (F.col("idx") - F.col("idx") % F.col("s")).alias("start"), "s")
     spans = spans.distinct().select("path", "id", "start", (F.col("start") + F.col("s") - 1).alias("end"))
-    points = head.where((F.col("doc_id") + F.col("idx")) % 7 == 0).select("path", "idx")
-    return joins.innermost(points, spans, ["path"], "idx", "start", "end").select("path", "idx", "id", "start")
+    return joins.innermost(head.select("path", "idx"), spans, ["path"], "idx", "start", "end").select("path", "idx", "id", "start")
 
 
 _PAGE_SQL = r"""pg AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
@@ -279,15 +278,14 @@ def hub_callees(spark, sf_dir):
     return e.groupBy("caller").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "unchanged")])
 
 
-@query("""WITH i AS (SELECT l_returnflag AS f, p_brand AS a, s_nationkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 48),
+@query("""WITH i AS (SELECT l_returnflag AS f, p_type AS a, l_suppkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey),
 x AS (SELECT DISTINCT a, b FROM i WHERE f = 'A'), y AS (SELECT DISTINCT a, b FROM i WHERE f = 'R')
 SELECT coalesce(x.a, y.a) AS from_package, coalesce(x.b, y.b) AS to_package,
 CASE WHEN x.a IS NULL THEN 'added' WHEN y.a IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM x FULL JOIN y ON x.a = y.a AND x.b = y.b""")
 def package_hub(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 48")
-    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    e = items.join(part, F.col("p_partkey") == F.col("l_partkey")).join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-    e = e.select(F.col("p_brand").alias("from_package"), F.col("s_nationkey").alias("to_package"), "l_returnflag")
+    part = table(spark, sf_dir, "part")
+    e = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    e = e.select(F.col("p_type").alias("from_package"), F.col("l_suppkey").alias("to_package"), "l_returnflag")
     return joins.status_of_sets(e.where("l_returnflag = 'A'"), e.where("l_returnflag = 'R'"), ["from_package", "to_package"])
 
 
@@ -311,23 +309,23 @@ def unique_import_method(spark, sf_dir):
     return joins.only_one(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), ["l_partkey"], "l_suppkey")
 
 
-@query("""WITH req AS (SELECT DISTINCT p_size AS iface, p_brand AS method FROM part WHERE p_size <= 20 AND p_brand <= 'Brand#13'),
-mem AS (SELECT DISTINCT l_suppkey AS type, p_brand AS method FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50),
+@query("""WITH req AS (SELECT DISTINCT p_type || p_size AS iface, p_brand AS method FROM part),
+mem AS (SELECT DISTINCT l_suppkey AS type, p_brand AS method FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 AND l_returnflag = 'R'),
 need AS (SELECT iface, count(*) AS n FROM req GROUP BY iface),
 have AS (SELECT r.iface, m.type, count(*) AS n FROM req r JOIN mem m ON m.method = r.method GROUP BY ALL),
 f AS (SELECT h.iface, h.type FROM have h JOIN need ON need.iface = h.iface AND need.n = h.n)
 SELECT iface, type FROM f WHERE iface IN (SELECT iface FROM f GROUP BY iface HAVING count(*) <= 8)""")
 def interface_division(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    required = part.where("p_size <= 20 AND p_brand <= 'Brand#13'").select(F.col("p_size").alias("iface"), F.col("p_brand").alias("method"))
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    required = part.select(F.concat("p_type", F.col("p_size").cast("string")).alias("iface"), F.col("p_brand").alias("method"))
+    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_returnflag = 'R'").join(part, F.col("p_partkey") == F.col("l_partkey"))
     members = items.select(F.col("l_suppkey").alias("type"), F.col("p_brand").alias("method"))
     return joins.divides(members, required, ["type"], ["iface"], "method", most=8)
 
 
 @query(r"""WITH pg AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
 c AS (SELECT page_id, p AS key FROM pg WHERE p <> ''),
-d AS (SELECT page_id AS def, regexp_replace(p, '/[0-9]+', '/' || CASE page_id % 3 WHEN 0 THEN '*' WHEN 1 THEN ':id' ELSE '7' || page_id END) AS def_key FROM pg WHERE p <> '' AND page_id < 40),
+d AS (SELECT min(page_id) AS def, regexp_replace(p, '/[0-9]+', '/' || CASE page_id % 3 WHEN 0 THEN '*' WHEN 1 THEN ':id' ELSE '7' || page_id END) AS def_key FROM pg WHERE p <> '' GROUP BY ALL),
 x AS (SELECT c.page_id, d.def, c.key, d.def_key, list_filter(string_split(c.key, '/'), lambda s: s <> '') AS a, list_filter(string_split(d.def_key, '/'), lambda s: s <> '') AS b FROM c, d)
 SELECT page_id, def, key, def_key FROM x WHERE key = def_key OR (len(a) = len(b) AND len(list_filter(range(1, len(a) + 1), lambda i: a[i] = b[i] OR a[i] = '*' OR b[i] = '*'
   OR (starts_with(a[i], ':') AND starts_with(b[i], ':')))) = len(a))""")
@@ -337,7 +335,7 @@ def seam_join(spark, sf_dir):
     key = F.when(F.col("page_id") % 3 == 0, "*").when(F.col("page_id") % 3 == 1, ":id").otherwise(F.concat(F.lit("7"), F.col("page_id").cast("string")))
     first = F.concat(F.regexp_extract("p", "^(.*?)/[0-9]+", 1), F.lit("/"), key, F.regexp_extract("p", "^.*?/[0-9]+(.*)$", 1))
     edited = F.when(F.col("p").rlike("/[0-9]+"), first).otherwise(F.col("p"))
-    definitions = pages.where("page_id < 40").select("seam", F.col("page_id").alias("def"), edited.alias("key"))
+    definitions = pages.groupBy("seam", edited.alias("key")).agg(F.min("page_id").alias("def"))
     calls = pages.select("seam", "page_id", F.col("p").alias("key"))
     return joins.key_join(calls, definitions, ["seam"]).select("page_id", "def", "key", "def_key")
 
