@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rated rows that the fit may use at most.
-SAMPLE = 16_000
+SAMPLE = 12_000
 DIMENSIONS = 1 << 18
 STEPS, REFIT, RATE, RIDGE, LASSO = 300, 60, 0.05, 1e-5, 1e-4
 #: A feature counts from this share of the fitted rows on, and from three rows on.
