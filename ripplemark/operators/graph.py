@@ -8,46 +8,85 @@ that of its frontier, and cycles end because nothing is visited twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.tables import cut
 
 
+#: Levels that stand side by side in a plan before they are written together.
+_SIDE_BY_SIDE = 16
+
+
+class _Levels:
+    """What a walk has found, each level written once."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [cut(first)]
+
+    def all(self) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), self.parts)
+
+    def add(self, level: DataFrame) -> None:
+        self.parts = [cut(self.all())] if len(self.parts) >= _SIDE_BY_SIDE else self.parts
+        self.parts.append(level)
+
+
+def _callers(edges: DataFrame) -> DataFrame:
+    """(node, next) once for each pair, written once for all levels of a walk."""
+    return cut(edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct())
+
+
 def upstream(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
     """(node, level) that reach any of ``origins`` (node), which are at level 0."""
-    known = cut(origins.select("node").distinct().withColumn("level", F.lit(0)))
-    frontier, level = known.select("node"), 0
-    callers = edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct()
+    known = _Levels(origins.select("node").distinct().withColumn("level", F.lit(0)))
+    frontier, level, callers = known.all(), 0, _callers(edges)
     while levels is None or level < levels:
         level += 1
-        new = callers.join(frontier, "node", "left_semi").select(F.col("next").alias("node")).distinct()
-        new = cut(new.join(known, "node", "left_anti"))
-        if new.isEmpty():
+        new = callers.join(frontier.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
+        frontier = cut(new.join(known.all(), "node", "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
             break
-        frontier = new
-        known = cut(known.unionByName(new.withColumn("level", F.lit(level))))
-    return known
+        known.add(frontier)
+    return known.all()
 
 
 def downstream(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
     return upstream(edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), origins, levels)
 
 
+#: Origins that share a word of marks, and about how many are numbered in one place.
+_BITS, _NUMBERED = 62, 4096
+
+
 def upstream_of_each(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
-    """(origin, node, distance) of every origin on its own, itself at distance 0."""
-    known = cut(origins.select(F.col("node").alias("origin"), "node").distinct().withColumn("distance", F.lit(0)))
-    frontier, level = known.select("origin", "node"), 0
-    callers = edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct()
+    """(origin, node, distance) of every origin on its own, itself at distance 0.
+
+    The walks go together: an origin is a bit, and a node carries words of the bits that have come
+    to it, so a level is one join with the edges for each word of origins and not for each origin.
+    """
+    named = origins.select(F.col("node").alias("origin")).distinct()
+    group = F.pmod(F.xxhash64("origin"), F.lit(1 + named.count() // _NUMBERED))
+    nth = F.row_number().over(Window.partitionBy("g").orderBy("origin")) - 1
+    marks = named.withColumn("g", group).withColumn("n", nth)
+    marks = cut(marks.select("origin", "g", F.floor(F.col("n") / _BITS).alias("w"), F.expr(f"shiftleft(1L, n % {_BITS})").alias("bit")))
+    key = ["node", "g", "w"]
+    first = marks.groupBy(F.col("origin").alias("node"), "g", "w").agg(F.bit_or("bit").alias("bits")).withColumn("distance", F.lit(0))
+    known = _Levels(first)
+    frontier, level, callers = known.all(), 0, _callers(edges)
     while levels is None or level < levels:
         level += 1
-        new = frontier.join(callers, "node").select("origin", F.col("next").alias("node")).distinct()
-        new = cut(new.join(known, ["origin", "node"], "left_anti"))
-        if new.isEmpty():
+        come = frontier.join(callers, "node").groupBy(F.col("next").alias("node"), "g", "w").agg(F.bit_or("bits").alias("come"))
+        here = known.all().groupBy(*key).agg(F.bit_or("bits").alias("here"))
+        new = F.col("come").bitwiseAND(F.bitwise_not(F.coalesce("here", F.lit(0).cast("long"))))
+        frontier = cut(come.join(here, key, "left").select(*key, new.alias("bits"), F.lit(level).alias("distance")).where("bits <> 0"))
+        if frontier.isEmpty():
             break
-        frontier = new
-        known = cut(known.unionByName(new.withColumn("distance", F.lit(level))))
-    return known
+        known.add(frontier)
+    held = known.all().join(marks, ["g", "w"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return held.select("origin", "node", "distance")
 
 
 def nearest_origin(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
@@ -56,19 +95,17 @@ def nearest_origin(edges: DataFrame, origins: DataFrame, levels: int | None = No
     Of shortest chains it is the least, part by part from the origin, as a queue over sorted
     origins and sorted callers would find it.
     """
-    known = cut(origins.select("node").distinct().withColumns({"distance": F.lit(0), "chain": F.array("node")}))
-    frontier, level = known.select("node", "chain"), 0
-    callers = edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct()
+    known = _Levels(origins.select("node").distinct().withColumns({"distance": F.lit(0), "chain": F.array("node")}))
+    frontier, level, callers = known.all(), 0, _callers(edges)
     while levels is None or level < levels:
         level += 1
         step = frontier.join(callers, "node").select(F.col("next").alias("node"), "chain")
-        step = step.join(known, "node", "left_anti").groupBy("node").agg(F.min("chain").alias("chain"))
-        new = cut(step.select("node", F.concat("chain", F.array("node")).alias("chain")))
-        if new.isEmpty():
+        step = step.join(known.all().select("node"), "node", "left_anti").groupBy("node").agg(F.min("chain").alias("chain"))
+        frontier = cut(step.select("node", F.lit(level).alias("distance"), F.concat("chain", F.array("node")).alias("chain")))
+        if frontier.isEmpty():
             break
-        frontier = new
-        known = cut(known.unionByName(new.select("node", F.lit(level).alias("distance"), "chain")))
-    return known
+        known.add(frontier)
+    return known.all()
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame, kind: Column) -> DataFrame:
