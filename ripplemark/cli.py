@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.operators import rules
-from ripplemark.plans import aligned, assess, plan, resolve
+from ripplemark.plans import aligned, assess, plan, resolve, schema
 from ripplemark.sources import repository, resolver, sarif
 
 CONFIG_ENV, CONFIG_NAME, CACHE_ENV = "RIPPLEMARK_CONFIG", "ripplemark.toml", "RIPPLEMARK_CACHE"
@@ -98,7 +98,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser.parse_args(argv)
 
     if args.command == "schema":
-        print(json.dumps({"plan": assess.SCHEMA, "version": {"plan": plan.VERSION, "assess": assess.VERSION}}, indent=2))
+        spark = spark or SparkSession.builder.appName("ripplemark").getOrCreate()
+        print(json.dumps(schema.documents(spark), indent=2))
         return 0
     if args.command == "cache":
         trees = repository.cached_trees(_cache())

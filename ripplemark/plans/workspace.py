@@ -146,11 +146,11 @@ def _extended(found: DataFrame) -> DataFrame:
         above = config.select("rev", F.col("path").alias("_path"), F.col("dir").alias("_dir"), F.col("aliases").alias("_aliases"), F.col("extends").alias("_extends"))
         step = config.withColumn("_path", F.when(F.size("aliases") == 0, json_name)).join(above, ["rev", "_path"], "left")
         inherits = F.col("_dir").isNotNull()
-        lifted = F.transform("_aliases", lambda a: F.struct(a["prefix"].alias("prefix"), a["exact"].alias("exact"), paths.normalised(F.concat("_dir", F.lit("/"), a["target"])).alias("target")))
-        own = F.transform("aliases", lambda a: a)
-        # a taken target is written from the root, and so is marked by a leading slash
-        taken = F.transform(lifted, lambda a: F.struct(a["prefix"].alias("prefix"), a["exact"].alias("exact"), F.concat(F.lit("/"), a["target"]).alias("target")))
-        config = step.withColumn("aliases", F.when(inherits, taken).otherwise(own)).withColumn("extends", F.when(inherits, F.col("_extends"))).select(found.columns)
+        # a target that is taken is written from the root, marked by a leading slash; one that goes on keeps its last
+        rooted = lambda t: F.concat(F.lit("/"), paths.normalised(F.concat("_dir", F.lit("/"), t)), F.when(F.endswith(t, F.lit("/")), "/").otherwise(""))
+        there = lambda t: F.when(F.startswith(t, F.lit("/")), t).otherwise(rooted(t))
+        taken = F.transform("_aliases", lambda a: F.struct(a["prefix"].alias("prefix"), a["exact"].alias("exact"), there(a["target"]).alias("target")))
+        config = step.withColumn("aliases", F.when(inherits, taken).otherwise(F.col("aliases"))).withColumn("extends", F.when(inherits, F.col("_extends"))).select(found.columns)
     kept = config.where(paths.basename(F.col("path")).isin("tsconfig.json", "jsconfig.json"))
     return found.where("kind <> 'aliases'").unionByName(kept)
 

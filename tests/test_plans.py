@@ -136,5 +136,57 @@ def test_commands_on_a_git_repository(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([*args, "assess", str(tmp_path / "p.json"), "--fail-on", "high"], spark) == 0
     assert "Assessment: 0 high" in capsys.readouterr().out
     assert cli.main([*args, "rules"]) == 0 and "await-in-loop" in capsys.readouterr().out
-    assert cli.main(["cache"]) == 0 and cli.main(["schema"]) == 0
+    assert cli.main(["cache"]) == 0 and cli.main(["schema"], spark) == 0
+    assert '"const": 3' in capsys.readouterr().out
     assert [r["path"] for r in repository.directory_files(spark, str(root)).where("path LIKE '%.sql'").collect()] == ["b.sql"]
+
+
+def test_seams_aliases_components_and_namespaces_join_the_graph(spark):
+    from ripplemark.plans import resolve
+
+    base = {
+        "package.json": '{ "name": "app" }',
+        "tsconfig.json": '{ // one that extends\n "extends": "./config/tsconfig.base.json", }',
+        "config/tsconfig.base.json": '{ "compilerOptions": { "baseUrl": "..", "paths": { "@core/*": ["src/core/*"] } } }',
+        "src/core/bus.ts": "export const deliver = (x: number) => x;\nbus.on('order.paid', (e) => { deliver(e); });\n",
+        "src/core/index.ts": "export * as money from './money';\n",
+        "src/core/money.ts": "export function round(x: number) { return x; }\n",
+        "src/pay.ts": "import { round } from '@core/money';\nimport * as core from '@core/index';\n\nexport const pay = () => {\n  bus.emit('order.paid', round(1));\n  return core.money.round(2);\n};\n",
+        "src/lib/fmt.ts": "export const fmt = (x: string) => x;\n",
+        "src/Cart.svelte": "<script>\n  import { fmt } from '$lib/fmt';\n  const show = () => fmt('x');\n</script>\n<p>don't</p>\n",
+    }
+    head = base | {
+        "src/core/money.ts": "export function round(x: number) { return x + 1; }\n",
+        "src/lib/fmt.ts": "export const fmt = (x: string) => x + '!';\n",
+        "src/core/bus.ts": "export const deliver = (x: number) => x + 1;\nbus.on('order.paid', (e) => { deliver(e); });\n",
+    }
+    texts = texts_of(spark, base, head)
+    sites = resolve.seam_sites(texts, "bus", r"\.on\('([\w.]+)'", r"\.emit\('([\w.]+)'")
+    assert {(r["side"], r["key"], r["line"]) for r in sites.where("rev = 'head'").collect()} == {("definition", "order.paid", 2), ("call", "order.paid", 5)}
+    doc = plan.report(plan.make(texts, sites=sites))
+    calls = {(c["caller"], c["callee"]) for c in doc["calls"]}
+    assert ("src/pay.ts::pay", "src/core/money.ts::round") in calls
+    assert ("src/Cart.svelte::show", "src/lib/fmt.ts::fmt") in calls and ("src/Cart.svelte::Cart", "src/Cart.svelte::show") in calls
+    assert ("src/pay.ts::pay", "src/core/bus.ts::anon@2") in calls and ("src/core/bus.ts::anon@2", "src/core/bus.ts::deliver") in calls
+    assert {f["entry"] for f in doc["functions"] if f["path"].endswith(".svelte") and "entry" in f} == {"component"}
+    changed = {s["id"]: s["reach_functions"] for s in doc["summary"]["symbols"]}
+    assert changed["src/core/bus.ts::deliver"] == 2 and changed["src/core/money.ts::round"] == 1
+
+
+def test_the_page_and_the_older_report(shop):
+    made, doc = shop
+    page = plan.to_html(made, doc)
+    assert "openPool" in page and "</script><" not in page.split('id="model">')[1].split("\n")[0].removesuffix("</script>")
+    old = plan.impact(made)
+    buy = next(c for c in old["chains"] if c["entry"].endswith("cart.ts::buy"))
+    assert [h.split("::")[1] for h in buy["hops"]] == ["buy", "anon@8", "addOrder", "connect", "openPool"]
+    assert {"from_package": "@shop/web", "to_package": "@shop/api", "calls": 2, "changed_calls": 0, "routes": 2} in old["crossings"]
+
+
+def test_one_files_alignment_for_people(spark):
+    from ripplemark.plans import aligned
+
+    texts = texts_of(spark, {"a.ts": "const f = () => { x(); };\nconst g = () => 1;\n"}, {"a.ts": "\nconst f = () => { x(); y(); };\nconst h = () => z();\n"})
+    rows = {r["label"]: r for r in aligned.rows(texts, "a.ts").collect()}
+    assert rows["f"]["kind"] == "changed" and rows["f"]["added_calls"] == ["y"] and (rows["f"]["base_start"], rows["f"]["head_start"]) == (1, 2)
+    assert rows["h"]["tier"] == "positional" and rows["h"]["kind"] == "changed"
