@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
