@@ -96,6 +96,46 @@ SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hw.n_hit, 0)::BIGINT AS
 FROM dw LEFT JOIN hw ON dw.r = hw.r LEFT JOIN hi ON dw.r = hi.r
 """
 
+_TEMPLATE_ROWS = ", ".join(
+    "({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(_licenses.TEMPLATES)
+)
+OP3_SQL = rf"""
+WITH tpl(nth, license, body) AS (VALUES {_TEMPLATE_ROWS}),
+tc AS (SELECT nth, license, term, count(*) AS n
+       FROM (SELECT nth, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM tpl) GROUP BY ALL),
+voc AS (SELECT DISTINCT term FROM tc),
+d AS (SELECT doc_id, row_number() OVER () AS r,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
+             concat_ws('/', source, lang, CASE WHEN doc_id % 100 <> 0 THEN 'h' || (doc_id // 100) END,
+                       CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' || doc_id ELSE 'd' || doc_id || '.txt' END) AS path
+      FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+df AS (SELECT term, count(*) AS c FROM (SELECT DISTINCT r, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM d)
+       WHERE term IN (SELECT term FROM voc) GROUP BY term),
+idf AS (SELECT voc.term, ln((1 + n.n) / (1 + coalesce(df.c, 0))) + 1 AS idf FROM n, voc LEFT JOIN df ON df.term = voc.term),
+w AS (SELECT nth, license, tc.term, tc.n * idf AS x, sqrt(sum((tc.n * idf) ** 2) OVER (PARTITION BY nth)) AS norm
+      FROM tc JOIN idf ON idf.term = tc.term),
+u AS (SELECT r, unnest(string_split(t, chr(10))) AS body, generate_subscripts(string_split(t, chr(10)), 1) AS unit FROM d
+      UNION ALL SELECT r, t, 0 FROM d WHERE regexp_matches(path, '(^|/)(?i:licen[cs]e|copying|notice)([._-][^/]*)?$')),
+ut AS (SELECT r, unit, term, count(*) AS tf
+       FROM (SELECT r, unit, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
+ux AS (SELECT r, unit, ut.term, tf * coalesce(idf, ln(1 + n.n) + 1) AS x FROM n, ut LEFT JOIN idf ON idf.term = ut.term),
+un AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY r, unit)) AS norm FROM ux),
+co AS (SELECT r, unit, nth, license, sum(un.x * w.x / w.norm) / any_value(un.norm) AS cosine
+       FROM un JOIN w ON w.term = un.term GROUP BY ALL HAVING cosine >= 0.7),
+own AS (SELECT r, arg_max(license, (round(cosine, 9), license)) AS license, max(round(cosine, 9)) AS cosine FROM co GROUP BY r),
+f AS (SELECT d.r, d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS dir, own.license, own.cosine,
+             regexp_matches(path, '(^|/)(?i:licen[cs]e|copying|notice)([._-][^/]*)?$') AS is_license FROM d LEFT JOIN own ON own.r = d.r),
+de AS (SELECT dir AS up, arg_max(license, (cosine, license)) AS license, max(cosine) AS cosine FROM f
+       WHERE is_license AND license IS NOT NULL GROUP BY dir),
+inh AS (SELECT x.dir, arg_max(de.up, length(de.up)) AS up, arg_max(de.license, length(de.up)) AS license, arg_max(de.cosine, length(de.up)) AS cosine
+        FROM (SELECT DISTINCT dir FROM f) x JOIN de ON de.up = x.dir OR starts_with(x.dir, de.up || '/') OR de.up = '' GROUP BY x.dir)
+SELECT f.doc_id, f.path, coalesce(f.license, inh.license) AS license, round(coalesce(f.cosine, inh.cosine), 6) AS cosine,
+       CASE WHEN f.license IS NOT NULL THEN 'own' WHEN inh.dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN f.license IS NULL THEN inh.up END AS from_directory
+FROM f LEFT JOIN inh ON inh.dir = f.dir
+"""
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t),
@@ -184,6 +224,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": OP2_SQL,
+        "op3_licenses": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op7_weighted_mix": OP7_SQL,
         "op8_warc_revisits": OP8_SQL,
