@@ -18,31 +18,24 @@ _CONTINUES_AFTER = {"(", "[", "{", "${", ",", ".", "?.", "=", "=>", "+", "-", "*
 _CONTINUES_BEFORE = {".", "?.", ",", ")", "]", "}", "}$", "=", "=>", "+", "-", "*", "/", "%", "&&", "||", "??", "?", ":", "==", "===", "!=", "!==", "&", "|", "^", "(", "["}
 
 
+_SCRIPT = re.compile(r"^[ \t]*<script\b(?![^\n]*</script>)([^>]*)>[^\n]*\n(.*?)^[ \t]*</script>[^\n]*", re.M | re.S)
+_IMPORT = re.compile(r"""^[ \t]*import\b\s*(?:[\w$*{}\s,]*?\bfrom\s*)?['"][^'"\n]*['"][^\n]*""", re.M)
+
+
 def script_of(text: str, name: str) -> str:
-    """A component's scripts, each as one exported function, on their own lines; all else is blank."""
-    out, inside, importing = [], False, False
-    for line in text.split("\n"):
-        bare = line.lstrip()
-        if bare.startswith("<script") and ">" in bare and "</script>" not in bare:
-            inside = True
-            module = " module" in bare or 'context="module"' in bare
-            out.append(f"export const {name}_module = async () => {{" if module else f"export const {name} = async () => {{")
-        elif bare.startswith("</script>"):
-            inside = importing = False
-            out.append("};")
-        elif not inside:
-            out.append("")
-        elif importing:
-            importing = not (" from " in bare or bare.endswith(";"))
-            out.append("")
-        elif bare.startswith(("import ", "import{")):
-            importing = not (" from " in bare or bare.endswith(";"))
-            out.append("")
-        elif bare.startswith("export "):
-            out.append(line[: len(line) - len(bare)] + "       " + bare[7:])
-        else:
-            out.append(line)
-    return "\n".join(out)
+    """A component's scripts, each as one exported function on its own lines; all else is blank lines.
+
+    Imports and ``export`` can't stand in a function: the first go, the word is blanked.
+    """
+    lines = lambda part: "\n" * part.count("\n")
+    out, at = [], 0
+    for m in _SCRIPT.finditer(text):
+        body = _IMPORT.sub(lambda i: lines(i[0]), m[2])
+        body = re.sub(r"(?m)^([ \t]*)export ", r"\1       ", body)
+        suffix = "_module" if re.search(r"""\smodule\b|context=["']module""", m[1]) else ""
+        out += [lines(text[at : m.start()]), f"export const {name}{suffix} = async () => {{\n", body, "};"]
+        at = m.end()
+    return "".join(out) + lines(text[at:])
 
 
 def component_name(path: str) -> str:

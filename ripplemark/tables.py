@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not df.sparkSession.sparkContext.master.startswith("local["):
+        if not named and not re.match(r"local(\[|$)", df.sparkSession.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         df.sparkSession.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ripplemark-"))
     return df.checkpoint()
