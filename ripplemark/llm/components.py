@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 from .scratch import Saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, Saved]:
     """Each larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-    least = least.select("c", F.least("c", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("m").alias("u"), "v")
+    # a written table, as only a join of two shuffles can split the rows of a hub
+    least = Saved(least.select("c", F.least("c", "m").alias("m")), "least")
+    return both.where("v > u").join(least.df, F.col("u") == F.col("c")).select(F.col("m").alias("u"), "v"), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, Saved]:
     """Each node and its smaller neighbours move to the least of them."""
-    least = edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
-    moved = edges.join(least, F.col("v") == F.col("c")).where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-    return moved.unionByName(least.select(F.col("m").alias("u"), F.col("c").alias("v"))).distinct()
+    least = Saved(edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m")), "least")
+    moved = edges.join(least.df, F.col("v") == F.col("c")).where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+    return moved.unionByName(least.df.select(F.col("m").alias("u"), F.col("c").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,7 +45,11 @@ def components(edges: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark, last = new, now
-        now = Saved(_small_star(_large_star(last.df)), "edges")
-        last.drop()
+        large, a = _large_star(last.df)
+        mid = Saved(large, "edges")
+        small, b = _small_star(mid.df)
+        now = Saved(small, "edges")
+        for done in (last, a, mid, b):
+            done.drop()
     leaves = now.df.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return leaves.unionByName(now.df.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

@@ -168,7 +168,8 @@ def links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, chunk: int
 
 def _linked(keys: DataFrame, bits: int, n_lanes: int, chunk: int) -> DataFrame:
     """(u, v) among the fingerprints ``_lanes`` that share a key (_c, _key)."""
-    shared = keys.groupBy("_c", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # a written table, as only a join of two shuffles can split the rows of a popular key
+    shared = saved(keys.groupBy("_c", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
     dealt = (
         keys.join(shared, ["_c", "_key"])
         .withColumn("_of", F.ceil(F.col("_n") / chunk).cast("int"))
