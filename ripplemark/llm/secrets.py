@@ -121,6 +121,8 @@ def scan(
     owned = each.select(F.col("s.digest").alias("_digest"), "_owner", "_repository").distinct()
     per_owner = owned.groupBy("_digest", "_owner").agg(F.count(F.lit(1)).alias("_n"))
     spread = per_owner.groupBy("_digest").agg(F.count(F.lit(1)).alias("_owners"), F.sum("_n").alias("_repositories"))
+    # a written table, as only a join of two shuffles can split the rows of a value that many texts hold
+    spread = saved(spread, "spread")
     verdict = F.when(F.col("_owners") >= example_owners, "example").when(F.col("s.live"), "live").otherwise("weak")
     judged = (
         each.select("_row", "s", F.col("s.digest").alias("_digest"))
