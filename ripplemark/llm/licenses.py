@@ -187,6 +187,8 @@ def scan(
         .join(declared, "_up")
         .groupBy("_dir").agg(nearest.alias("i"))
     )
+    # a written table, as only a join of two shuffles can split the files of a large directory
+    inherited = saved(inherited, "inherited")
     mine = F.col("license").isNotNull()
     return stated.join(inherited, "_dir", "left").select(
         F.col("_id").alias(id_col),
