@@ -128,19 +128,18 @@ def mix(
         .select("_row", "_source", "_key", "_size", (served.cast("double") / F.col("target")).alias("_finish"))
         .withColumn("_tick", _tick(F.col("_finish")))
     )
-    total = sources.agg(F.floor(F.sum("target")).alias("_budget"))
+    budget = F.lit(sources.agg(F.floor(F.sum("target"))).first()[0] or 0)  # one number
     ticks = (
         items.groupBy("_tick")
         .agg(F.sum("_size").alias("_in_tick"))
         .withColumn("_earlier", _running([], [F.col("_tick")], "_in_tick"))
-        .join(F.broadcast(total))
-        .where("_earlier < _budget")
+        .where(F.col("_earlier") < budget)
     )
     line = Window.partitionBy("_tick").orderBy("_finish", "_source", "_key", "_row").rowsBetween(Window.unboundedPreceding, 0)
     taken = (
-        items.join(ticks.select("_tick", "_earlier", "_budget"), "_tick")
+        items.join(ticks.select("_tick", "_earlier"), "_tick")
         .withColumn("_spent", F.col("_earlier") + F.sum("_size").over(line))
-        .where("_spent <= _budget")
+        .where(F.col("_spent") <= budget)
         .groupBy("_row")
         .agg(F.sum("_size").alias("taken"))
     )
