@@ -143,6 +143,53 @@ def test_similar_dedup_finds_texts_that_share_four_fifths(spark):
     assert len(kept - set(range(originals))) <= 1
 
 
+def plain_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_dedup_keeps_texts_below_four_fifths(spark):
+    import random
+
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for i in range(60):
+        w = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(300)]
+        rows.append((i, " ".join(w)))
+        for at in range(10, 10 + 20 * (i % 6 + 7), 20):  # 35 to 60 of 296 shingles go
+            w[at] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+        pairs.append(plain_similarity(rows[-2][1], rows[-1][1]))
+    assert min(pairs) < 0.68 and max(pairs) < 0.8
+    for i in range(2):  # one line many times, and a rest of its own
+        rest = " ".join("".join(rng.choices("abcdefghijkl", k=5)) for _ in range(80))
+        rows.append((2000 + i, "all rights reserved by the owner of this page " * 150 + rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.similar_dedup(df).collect()) == sorted(i for i, _ in rows)
+
+
+def test_similar_dedup_tries_every_candidate_of_a_large_group(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for family in range(3):
+        base = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(200)]
+        for i in range(60):
+            w = list(base)
+            for at in rng.sample(range(200), rng.randint(0, 7)):
+                w[at] = f"w{i}"
+            rows.append((family * 1000 + i, " ".join(w)))
+    root = {i: i for i, _ in rows}
+    texts = dict(rows)
+    links = [(i, j) for i in texts for j in texts if i < j and i // 1000 == j // 1000 and plain_similarity(texts[i], texts[j]) >= 0.8]
+    while any(root[i] != root[j] for i, j in links):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.similar_dedup(df).collect()} == set(root.values())
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "u long, v long")
