@@ -8,8 +8,10 @@ that of its frontier, and cycles end because nothing is visited twice.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,28 +129,88 @@ def entry_kind() -> Column:
     )
 
 
-def ranks(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
+def _components_of_cycles(edges: DataFrame) -> DataFrame:
+    """(node, scc) of the nodes that lie on a cycle; edges are without loops.
+
+    Nodes that nothing enters or leaves go first, again and again. Of the rest each takes the greatest
+    name that reaches it; what goes back to that name within its colour is a component, and goes.
+    """
+    found, left = None, cut(edges)
+    while True:
+        while not left.isEmpty():
+            inner = left.join(left.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
+            inner = cut(inner.join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee"))
+            done, left = inner.count() == left.count(), inner
+            if done:
+                break
+        if left.isEmpty():
+            return edges.select(F.col("caller").alias("node"), F.col("caller").alias("scc")).limit(0) if found is None else found
+        colour = cut(left.select(F.explode(F.array("caller", "callee")).alias("node")).distinct().withColumn("scc", F.col("node")))
+        while True:
+            come = left.join(colour, F.col("caller") == F.col("node")).select(F.col("callee").alias("node"), "scc")
+            now = cut(colour.unionByName(come).groupBy("node").agg(F.max("scc").alias("scc")))
+            if now.exceptAll(colour).isEmpty():
+                break
+            colour = now
+        a, b = (colour.select(F.col("node").alias(end), F.col("scc").alias(c)) for end, c in (("caller", "a"), ("callee", "b")))
+        same = left.join(a, "caller").join(b, "callee").where("a = b").select("caller", "callee")
+        back = upstream(same, colour.where("node = scc").select("node")).select("node")
+        one = cut(colour.join(back, "node", "left_semi"))
+        found = one if found is None else cut(found.unionByName(one))
+        gone = one.select("node")
+        left = left.join(gone.withColumnRenamed("node", "caller"), "caller", "left_anti")
+        left = cut(left.join(gone.withColumnRenamed("node", "callee"), "callee", "left_anti").select("caller", "callee"))
+
+
+def _back_edges(table: pa.Table) -> pa.Table:
+    """Of one component's edges those that end, depth first from the least node of least level, on the way that led to them."""
+    out, level = defaultdict(list), {}
+    for row in table.to_pylist():
+        out[row["caller"]].append(row["callee"])
+        level[row["caller"]] = row["level"]
+    start = min(level, key=lambda n: (level[n], n))
+    back, on_the_way, stack = [], {start: True}, [(start, iter(sorted(out[start])))]
+    while stack:
+        node, rest = stack[-1]
+        for to in rest:
+            if to not in on_the_way:
+                on_the_way[to] = True
+                stack.append((to, iter(sorted(out[to]))))
+                break
+            if on_the_way[to]:
+                back.append((node, to))
+        else:
+            on_the_way[node] = False
+            stack.pop()
+    return pa.table({"caller": pa.array([a for a, _ in back], pa.string()), "callee": pa.array([b for _, b in back], pa.string())})
+
+
+def ranks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, rank): the longest way down from a node that nothing calls, back edges aside.
 
-    An edge is a back edge if its end was reached, level by level from the nodes that nothing calls,
-    before its start; so what is left has no cycle.
+    Only edges inside a strongly connected component can be back edges. A component is walked depth first
+    in one place, from where it is first reached, and the edges that close a cycle go; all others count.
     """
-    called = edges.select(F.col("callee").alias("node")).distinct()
-    tops = nodes.select("node").join(called, "node", "left_anti")
-    first = downstream(edges, tops)
-    rest = nodes.select("node").join(first, "node", "left_anti").withColumn("level", F.lit(0))
-    level = cut(first.unionByName(rest))
-    a = level.select(F.col("node").alias("caller"), F.col("level").alias("la"))
-    b = level.select(F.col("node").alias("callee"), F.col("level").alias("lb"))
-    forward = cut(edges.select("caller", "callee").distinct().join(a, "caller").join(b, "callee").where("la < lb").select("caller", "callee"))
-    ranked = cut(nodes.select("node").distinct().withColumn("rank", F.lit(0)))
-    for _ in range(most):
+    names = cut(nodes.select("node").distinct())
+    known = edges.where("caller <> callee").select("caller", "callee").distinct()
+    for end in ("caller", "callee"):
+        known = known.join(names.withColumnRenamed("node", end), end, "left_semi")
+    known = cut(known.select("caller", "callee"))
+    forward, cycles = known, _components_of_cycles(known)
+    if not cycles.isEmpty():
+        tops = names.join(known.select(F.col("callee").alias("node")).distinct(), "node", "left_anti")
+        level = names.join(downstream(known, tops), "node", "left").select(F.col("node").alias("caller"), F.coalesce("level", F.lit(0)).alias("level"))
+        a, b = (cycles.select(F.col("node").alias(end), F.col("scc").alias(c)) for end, c in (("caller", "a"), ("callee", "b")))
+        inside = known.join(a, "caller").join(b, "callee").where("a = b").join(level, "caller").select("a", "caller", "callee", "level")
+        back = inside.groupBy("a").applyInArrow(_back_edges, "caller string, callee string")
+        forward = cut(known.join(back, ["caller", "callee"], "left_anti"))
+    ranked = cut(names.withColumn("rank", F.lit(0)))
+    while True:
         up = forward.join(ranked, forward["caller"] == ranked["node"]).groupBy(F.col("callee").alias("node")).agg((F.max("rank") + 1).alias("r"))
         now = cut(ranked.join(up, "node", "left").select("node", F.greatest("rank", F.coalesce("r", F.lit(0))).alias("rank")))
         if now.exceptAll(ranked).isEmpty():
-            break
+            return ranked
         ranked = now
-    return ranked
 
 
 def visible_edges(edges: DataFrame, changed: DataFrame) -> DataFrame:
