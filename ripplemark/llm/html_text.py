@@ -4,9 +4,10 @@ A page is read into leaf blocks, each with its root-to-leaf path of block
 elements. Every path gets two ratios over the whole page: characters per block
 and punctuation marks per block. A block's ratios are those of its path,
 smoothed over its neighbours in page order, then multiplied; blocks above a
-threshold are content. The main text is all of the smallest element that holds
-them, short paragraphs and headings included, without what is boilerplate by
-its element or name.
+threshold are content. The main text is all of the article or main element
+around them, or else of the smallest element that holds them all, short
+paragraphs, headings and captions included, without what is boilerplate by its
+element or name.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import types as T
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
 _NAMED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas", "select"}
-_DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "figcaption", "header"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "select", "annotation", "annotation-xml"}
+_DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "button", "dialog", "header"}
 _INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle
+    msub msubsup msup mtext munder munderover none semantics""".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open one of the same kind, and those whose start ends a paragraph.
@@ -105,7 +108,7 @@ def blocks(html: str, named: bool = True) -> list[tuple[str, tuple[int, ...], st
         if name in _RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else end
-            if name not in ("svg", "math", "canvas"):
+            if name not in ("svg", "canvas", "annotation", "annotation-xml"):
                 flush()
             continue
         if name in _VOID:
@@ -148,18 +151,14 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "") or blocks(html or "", named=False)  # a name around the whole page says nothing
     if not found:
         return ""
-    chosen = [i for i, c in enumerate(content(found)) if c]
-    total = sum(len(found[i][2]) for i in chosen)
-    held: dict[int, int] = defaultdict(int)
-    for i in chosen:
-        around = found[i][1]
-        for element in around[:-1] if len(around) > 1 else around:
-            held[element] += len(found[i][2])
-    # the deepest element that holds nearly all of the chosen text; ids ascend with depth along a path
-    holding = [e for e, n in held.items() if n >= 0.9 * total]
-    if not holding:
+    chosen = [found[i] for i, c in enumerate(content(found)) if c]
+    # the elements around all of the chosen text, from the outermost; a block that is alone has its own
+    ways = [list(zip(path.split("/"), around, strict=True))[: max(1, len(around) - 1)] if around else [] for path, around, _ in chosen]
+    shared = [level[0] for level in zip(*ways) if len(set(level)) == 1]
+    if not shared:
         return " ".join(t for _, _, t in found)
-    box = max(holding)
+    # a heading or a lead may stand outside the part with the long text, but not outside the article
+    box = next((e for name, e in reversed(shared) if name == "article"), None) or next((e for name, e in shared if name == "main"), shared[-1][1])
     return " ".join(t for _, around, t in found if box in around)
 
 

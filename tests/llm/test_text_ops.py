@@ -283,6 +283,18 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><l
 <footer>&copy; us</footer></body></html>"""
 
 
+def test_main_text_keeps_what_stands_around_the_longest_part():
+    body = "<p>" + "A long paragraph, with many words in it, and more of them. " * 20 + "</p>"
+    nested = f'<body><nav>Home</nav><article><h1>Title</h1><p>The lead.</p><div class="body">{body * 4}</div><section><p>Short end.</p></section></article></body>'
+    for page in (nested, nested.replace("article", "main")):
+        text = html_text.main_text(page)
+        assert text.startswith("Title The lead. A long") and text.endswith("Short end.") and "Home" not in text
+    two = f"<body><div><div>{body * 6}</div><div><p>{'Another part, not as long, of the same. ' * 12}</p></div></div></body>"
+    assert "Another part" in html_text.main_text(two)
+    figure = f"<article>{body}<figure><figcaption>What is seen.</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>"
+    assert html_text.main_text(figure).endswith("What is seen. So x=1 holds.")
+
+
 def test_main_text_is_the_article():
     want = "Title & more First paragraph, with bold and a link. Second line; it goes on and on, as paragraphs do. Third é."
     assert html_text.main_text(PAGE) == want
