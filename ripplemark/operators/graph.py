@@ -245,17 +245,19 @@ def around(edges: DataFrame, origins: DataFrame, hops: int) -> tuple[DataFrame,
     return nodes, inside.select(edges.columns)
 
 
-def depths(units: DataFrame, most: int = 64) -> DataFrame:
-    """(path, idx, depth): how many units stand around each. Needs path, idx, parent."""
-    known = cut(units.where("parent IS NULL").select("path", "idx", F.lit(0).alias("depth")))
-    frontier = known
+def depths(units: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, idx, depth): how many units stand around each. Needs path, idx, parent; none stands in itself."""
+    known = frontier = cut(units.where("parent IS NULL").select("path", "idx", F.lit(0).alias("depth"), F.array("idx").alias("way")))
     inner = units.where("parent IS NOT NULL").select("path", "idx", "parent")
-    for depth in range(1, most + 1):
-        frontier = cut(inner.join(frontier.select("path", F.col("idx").alias("parent")), ["path", "parent"]).select("path", "idx", F.lit(depth).alias("depth")))
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
+        step = inner.join(frontier.select("path", F.col("idx").alias("parent"), "way"), ["path", "parent"]).where(~F.array_contains("way", F.col("idx")))
+        frontier = cut(step.select("path", "idx", F.lit(depth).alias("depth"), F.concat("way", F.array("idx")).alias("way")))
         if frontier.isEmpty():
             break
         known = cut(known.unionByName(frontier))
-    return known
+    return known.select("path", "idx", "depth")
 
 
 def folded(edges: DataFrame, into: DataFrame) -> DataFrame:

@@ -9,18 +9,20 @@ from ripplemark.functions import paths
 from ripplemark.tables import cut
 
 
-def mounted(roots: DataFrame, mounts: DataFrame, most: int = 16) -> DataFrame:
+def mounted(roots: DataFrame, mounts: DataFrame, most: int | None = None) -> DataFrame:
     """(router, route): the whole prefix of every router below ``roots`` (router, route); mounts are
-    (parent, child, prefix). A router mounted twice has two routes; a cycle ends after ``most`` levels."""
-    known = frontier = cut(roots.select("router", "route"))
-    for _ in range(most):
-        step = frontier.join(mounts, frontier["router"] == mounts["parent"])
+    (parent, child, prefix). A router mounted twice has two routes; none is mounted below itself."""
+    known = frontier = cut(roots.select("router", "route", F.array("router").alias("way")))
+    level = 0
+    while most is None or level < most:
+        level += 1
+        step = frontier.join(mounts, frontier["router"] == mounts["parent"]).where(~F.array_contains("way", F.col("child")))
         joined = F.concat(F.regexp_replace("route", "/+$", ""), F.lit("/"), F.regexp_replace("prefix", "^/+", ""))
-        frontier = cut(step.select(F.col("child").alias("router"), joined.alias("route")))
+        frontier = cut(step.select(F.col("child").alias("router"), joined.alias("route"), F.concat("way", F.array("child")).alias("way")))
         if frontier.isEmpty():
             break
         known = cut(known.unionByName(frontier))
-    return known
+    return known.select("router", "route")
 
 
 def same_route(a: Column, b: Column) -> Column:
