@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frequent import least_count
 from .scratch import Saved, saved
 
 STATES = 4
@@ -264,19 +265,6 @@ def train(encoded: DataFrame, mass: np.ndarray, states: int = STATES, rounds: in
     return model
 
 
-def _hot_from(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` words reach, to an eighth of an octave."""
-    level = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
-    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # some hundreds
-    total, lowest = 0, None
-    for r in sorted(levels, key=lambda r: -r["level"]):
-        total += r["n"]
-        if total > most:
-            break
-        lowest = r["level"]
-    return 1 << 62 if lowest is None else math.ceil(2 ** (lowest / 8) - 1e-9)
-
-
 def score(
     docs: DataFrame,
     *,
@@ -315,7 +303,7 @@ def score(
     mass[classes] = n_docs + 1
     model = train(encoded.df, mass, states, rounds if n_docs else 0)
     encoded.drop()
-    least = _hot_from(counts, hot_words)
+    least = least_count(counts, hot_words)
     hot = [(r["word"].encode(), r["c"]) for r in counts.where(F.col("c") >= least).toLocalIterator()]  # at most `hot_words`
     sent = spark.sparkContext.broadcast(
         (model.start, model.move, model.emit / mass, [w for w, _ in hot], np.log10(np.array([c for _, c in hot], np.float64) + 1))

@@ -86,7 +86,12 @@ def brute_components(rows, bits):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits,blocks", [(4, 6), (4, 5), (20, 22)])
+def test_blocks_grow_with_the_number_of_fingerprints():
+    found = [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**13)]
+    assert found[:3] == [6, 6, 6] and found == sorted(found) and found[3] == 7 and found[-1] < 32
+
+
+@pytest.mark.parametrize("bits,blocks", [(4, 6), (4, None), (4, 8), (20, 22)])
 def test_near_components_match_brute_force(docs, rows, bits, blocks):
     got = simhash.near_components(docs, bits=bits, blocks=blocks).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute_components(rows, bits)
@@ -168,21 +173,47 @@ def test_similar_dedup_keeps_texts_below_four_fifths(spark):
     assert sorted(r["doc_id"] for r in simhash.similar_dedup(df).collect()) == sorted(i for i, _ in rows)
 
 
-def test_similar_dedup_tries_every_candidate_of_a_large_group(spark):
+def test_prefixes_of_similar_sets_share_a_shingle_in_any_order():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(300):
+        pool = rng.sample(range(1 << 40), rng.randint(2, 120))
+        late = np.array(sorted(rng.sample(pool, rng.randint(0, len(pool)))), np.uint64)
+        rank = np.array(rng.sample(range(len(late)), len(late)), np.int64)
+        a = set(rng.sample(pool, rng.randint(1, len(pool))))
+        b = set(a)
+        while a and len(a & b) >= 0.8 * len(a | b):  # as far apart as similar sets may be
+            want, of = set(b), sorted(b)
+            b = b - {rng.choice(of)} if rng.random() < 0.5 and len(b) > 1 else b | {rng.choice(pool)}
+            if b == want and len(b) == len(pool):
+                break
+            if len(a & b) < 0.8 * len(a | b):
+                b = want
+                break
+        p, q = (set(simhash.prefix(np.array(sorted(x), np.uint64), 0.8, late, rank).tolist()) for x in (a, b))
+        assert len(a & b) >= 0.8 * len(a | b) and p & q and len(p) <= len(a) // 5 + 1
+
+
+@pytest.mark.parametrize("texts", [128, 8])
+def test_similar_dedup_tries_every_candidate_of_a_large_group(spark, monkeypatch, texts):
     import random
 
+    monkeypatch.setattr(simhash, "_TEXTS", texts)  # so that groups are compared in several chunks
     rng = random.Random(7)
     rows = []
     for family in range(3):
         base = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(200)]
         for i in range(60):
             w = list(base)
-            for at in rng.sample(range(200), rng.randint(0, 7)):
+            for at in rng.sample(range(200), rng.randint(0, 9)):
                 w[at] = f"w{i}"
             rows.append((family * 1000 + i, " ".join(w)))
     root = {i: i for i, _ in rows}
-    texts = dict(rows)
-    links = [(i, j) for i in texts for j in texts if i < j and i // 1000 == j // 1000 and plain_similarity(texts[i], texts[j]) >= 0.8]
+    by_id = dict(rows)
+    links = [(i, j) for i in by_id for j in by_id if i < j and i // 1000 == j // 1000 and plain_similarity(by_id[i], by_id[j]) >= 0.8]
     while any(root[i] != root[j] for i, j in links):
         for i, j in links:
             root[i] = root[j] = min(root[i], root[j])
