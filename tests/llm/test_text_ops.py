@@ -307,8 +307,67 @@ def test_main_text_is_the_article():
     assert html_text.main_text("<p>" + "word, " * 50_000 + "</p>") == ("word, " * 50_000).strip()
 
 
+LONG = "".join(f"<p>Paragraph {i}, which goes on for a while; it has marks, and words, and an end to it.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><p>Elsewhere.</p><div class="container sidebar-right"><h1>T</h1>{LONG}</div></body>',
+        f'<body><p>Elsewhere.</p><div id="social-policy"><h1>T</h1>{LONG}</div></body>',
+        f"<body><form><div><h1>T</h1>{LONG}</div></form></body>",
+        f"<body><svg/><div><h1>T</h1>{LONG}</div></body>",
+        f"<body><div title='it's'><h1>T</h1>{LONG}</div></body>",
+        f"<body><div><select><option>one<h1>T</h1>{LONG}</div><select><option>two</select></body>",
+        f"<body><canvas><h1>T</h1>{LONG}</body>",
+        f"<body><div data-x=a>b title=\"a>b\"<h1>T</h1>{LONG}</div></body>",
+    ],
+)
+def test_no_article_is_lost_to_names_or_broken_markup(page):
+    got, want = html_text.main_text(page), html_text.main_text(f"<article><h1>T</h1>{LONG}</article>")
+    assert want.startswith("T Paragraph 0,") and want.endswith("end to it.") and want in got
+
+
+def test_ratios_alone_find_the_article_of_a_page_without_names():
+    links = "".join(f"<div><a href=/{i}>Part {i}</a></div>" for i in range(6))
+    page = f"<body><div>{links}</div><div>Buy this.</div><div><h1>A title of some length</h1>{LONG}<ul><li>One point.</li></ul>{LONG}</div><div>Us, 2020</div></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("A title of some length Paragraph 0,") and got.endswith("end to it.") and "One point." in got
+    named = html_text.Page(f"<body><nav>{links}</nav><div class=ad>Buy this, now, or never.</div><div>{LONG}</div><footer>Us, 2020</footer></body>")
+    alone = html_text.content(named, named=False)
+    assert alone == [i for i, t in enumerate(named.text) if t.startswith("Paragraph")]
+
+
+def test_path_ratios_match_brute_force():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(20):
+        parts = []
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(["p", "li", "h2", "div"])
+            body = " ".join(rng.choices(["word", "end.", "a,b", "x"], k=rng.randint(1, 9)))
+            parts.append(f"<section><{tag}>{body}</{tag}></section>" if rng.random() < 0.5 else f"<{tag}><a>{body}</a></{tag}>" if rng.random() < 0.3 else f"<{tag}>{body}</{tag}>")
+        page = html_text.Page("<body>" + "".join(parts) + "</body>")
+        key = lambda i: ("/".join(page.names[e] for e in page.around(page.element[i])), page.linked[i] * 2 > len(page.text[i]))
+        by, total = {}, sum(len(t) - x for t, x in zip(page.text, page.linked))
+        for i, t in enumerate(page.text):
+            x = by.setdefault(key(i), [0, 0, 0])
+            x[0] += 1
+            x[1] += len(t) - page.linked[i]
+            x[2] += 0 if key(i)[1] else sum(c in ".," for c in t)
+        want = np.array([[x[1] / x[0], (x[2] + 1) / x[0], x[1] / max(1, total)] for x in (by[key(i)] for i in range(len(page.text)))])
+        assert np.allclose(np.array(html_text.path_ratios(page)).T, want)
+
+
+def test_reader_comments_go_even_where_they_outweigh_the_article():
+    comments = "".join(f"<div class=comment><p>Reader {i} says, at length, that this is so; and more, and more of it still.</p></div>" for i in range(12))
+    got = html_text.main_text(f"<body><h1>T</h1>{LONG}<div id=comments>{comments}</div></body>")
+    assert "Reader" not in got and got.startswith("T Paragraph 0,")
+
+
 def test_extract_keeps_every_row(spark):
-    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("text", "n_chars", "_html", "_id", "_url")])
     got = html_text.extract(df)
     assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(r["n_chars"] for r in got.collect())[0] == 0 and got.count() == 3
     assert html_text.extract(df.limit(0)).count() == 0
