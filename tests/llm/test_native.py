@@ -21,8 +21,11 @@ def stored(spark, docs, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def plans(spark, stored):
+    written = []
+    save = exact_dedup.saved
+    exact_dedup.saved = lambda df, label: (written.append(plan_of(df)), save(df, label))[1]
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
-    return {
+    found = {
         "contamination": plan_of(decontaminate.contamination(stored, bench)),
         "decontaminate": plan_of(decontaminate.decontaminate(stored, bench)),
         "licences": plan_of(licenses.scan(stored, path=F.col("source"))),
@@ -30,6 +33,17 @@ def plans(spark, stored):
         "dedup": plan_of(exact_dedup.exact_dedup(stored)),
         "mix": plan_of(mixing.mix(stored)),
     }
+    exact_dedup.saved = save
+    found |= {f"run {i}": p for i, p in enumerate(written)}
+    return found
+
+
+def test_runs_are_sorted_before_they_are_merged(plans):
+    merges = [p for name, p in plans.items() if name.startswith("run") and "Window" in p]
+    assert len(merges) == 2 * 3  # two calls of 64 runs, 4 at a time
+    for plan in merges:
+        at = plan.index("Window [")
+        assert re.search(r"Sort \[_run#\d+ ASC NULLS FIRST, _sha#\d+", plan[at:]) and plan.count("Exchange") == 1
 
 
 def test_no_python_and_no_cross_joins(plans):
@@ -38,12 +52,12 @@ def test_no_python_and_no_cross_joins(plans):
 
 
 def test_scans_read_what_they_need(plans):
-    for name in ("contamination", "groups"):
+    for name in ("contamination", "run 0"):
         scans = re.findall(r"ReadSchema: struct<([^>]*)>", plans[name])
         assert scans and all(set(re.findall(r"(\w+):", s)) <= {"doc_id", "text", "item_id"} for s in scans), name
 
 
 def test_texts_are_not_shuffled_by_the_scans(plans):
-    for name in ("contamination", "groups", "mix", "licences"):
+    for name in ("contamination", "groups", "mix", "licences", *(n for n in plans if n.startswith("run"))):
         for line in re.findall(r"Exchange [^\n]*", plans[name]):
             assert "text#" not in line, name
