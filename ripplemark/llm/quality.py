@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import saved
+
 #: Rated rows that the fit may use at most.
 SAMPLE = 12_000
 DIMENSIONS = 1 << 18
@@ -92,7 +94,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     for r in rows:
         held[r[0]] += 1  # slots of a row are distinct but for collisions, which count once
     common = held >= max(3, LEAST_SHARE * n)
-    rows = [(r[0][m], r[1][m]) for r in rows for m in [common[r[0]]]]
+    rows = [(r[0][m], r[1][m]) for r in rows for m in [common[r[0]]]]  # fewer only where rows come from elsewhere than train()
     slots, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     of_row = np.repeat(np.arange(n, dtype=np.int32), [len(r[0]) for r in rows])
     del rows
@@ -133,20 +135,44 @@ def train(
     docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, *, id_col: str, text_col: str, rating_id: str,
     sample: int = SAMPLE, dimensions: int = DIMENSIONS,
 ) -> Classifier:
-    """Fits on at most ``sample`` ratings of rows of ``docs``; null ids and null grades are left out."""
+    """Fits on at most ``sample`` ratings of rows of ``docs``; null ids and null grades are left out.
+
+    Of rows that repeat an id, one is read: that whose text has the least hash. What reaches the driver is a row per rating,
+    with the features that enough of these rows have.
+    """
     rated = ratings.select(F.col(rating_id).alias("_rated"), grade.cast("int").alias("_grade"))
     rated = rated.where("_rated IS NOT NULL AND _grade IS NOT NULL").orderBy(F.xxhash64("_rated"), "_rated", "_grade").limit(sample)
+    rated = saved(rated, "rated")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    rows = rows.join(F.broadcast(rated), F.col("_id") == F.col("_rated")).select("_grade", "_text")
+    rows = rows.join(F.broadcast(rated.select("_rated").distinct()), F.col("_id") == F.col("_rated"))
+    rows = rows.groupBy("_rated").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+    rows = rows.join(F.broadcast(rated), "_rated").select("_grade", "_text")  # at most `sample`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(dimensions)
         for b in batches:
             found = [features(t.as_py(), tokens) for t in b.column(1)]
-            parts = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+            parts = [pa.ListArray.from_arrays(ends, np.concatenate([x[i] for x in found])) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *parts], ["grade", "slots", "values"])
 
-    got = rows.mapInArrow(run, "grade int, slots binary, values binary").limit(2 * sample).collect()
+    read = saved(rows.mapInArrow(run, "grade int, slots array<int>, values array<float>"), "features")
+    held = read.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    least = max(3, LEAST_SHARE * read.count())
+    common = np.zeros(dimensions, bool)
+    common[[r["slot"] for r in held.where(F.col("n") >= least).select("slot").collect()]] = True  # at most `dimensions`
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = ([], [])
+            for slots, values in zip(b.column(1), b.column(2), strict=True):
+                slots = slots.values.to_numpy()
+                left = common[slots]
+                out[0].append(slots[left].tobytes())
+                out[1].append(values.values.to_numpy()[left].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in out)], ["grade", "slots", "values"])
+
+    got = read.mapInArrow(shorten, "grade int, slots binary, values binary").collect()
     got.sort(key=lambda r: (r["grade"], r["slots"], r["values"]))
     grades = np.clip(np.array([r["grade"] for r in got], np.int64), 0, n_grades - 1)
     rows = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in got]
@@ -193,7 +219,8 @@ def rate(
 
     ``grade`` maps a row of ``ratings`` to 0 .. n_grades - 1. Null and empty
     texts have one feature of their own. Rows may repeat, ids may be null;
-    several ratings of a row all count. Without ratings all rows are kept.
+    several ratings of a row all count; of rows that
+    repeat a rated id, the fit reads one. Without ratings all rows are kept.
     Extra columns, whatever their names, play no part.
     """
     model = train(docs, ratings, grade, n_grades, id_col=id_col, text_col=text_col, rating_id=rating_id, sample=sample, dimensions=dimensions)

@@ -236,6 +236,39 @@ def test_grades_are_learned_and_ordered(spark):
     assert all(r["kept"] for r in quality.rate(docs, ratings.limit(0), *args[1:]).collect())
 
 
+def test_the_fit_reads_one_row_of_a_rated_id_that_repeats(spark, monkeypatch):
+    seen = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, *a: (seen.append(len(rows)), real(rows, *a))[1])
+    rows = [(i % 5, f"text {i} " + "word " * (2000 * (i == 7))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 2, 0) for i in range(5)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [sorted(map(str, quality.rate(d, ratings, quality.label_grade(), 3, sample=8).collect())) for d in (docs, docs.repartition(7))]
+    assert seen == [6, 6] and got[0] == got[1] and len(got[0]) == 300
+
+
+def test_the_fit_finds_the_likelihood_optimum():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    true, cuts = np.array([2.0, -1.5, 1.0]), np.array([-0.5, 1.0])
+    x = rng.integers(0, 2, (3000, 3)).astype(float)
+    grades = (x @ true + rng.logistic(size=3000) > cuts[:, None]).sum(axis=0)
+    rows = [(np.flatnonzero(r).astype(np.int32), np.ones(int(r.sum()), np.float32)) for r in x]
+
+    def loss(p):
+        edges = np.concatenate(([-np.inf], p[3:], [np.inf]))
+        above, beyond = (1 / (1 + np.exp(np.clip(e - x @ p[:3], -500, 500))) for e in (edges[grades], edges[grades + 1]))
+        return -np.log(np.maximum(above - beyond, 1e-12)).mean()
+
+    p, step = np.array([0, 0, 0, -1, 1.0]), 0.5
+    for _ in range(800):  # plain descent along numeric slopes
+        p = p - step * np.array([(loss(p + 1e-4 * e) - loss(p - 1e-4 * e)) / 2e-4 for e in np.eye(5)])
+    model = quality.fit(rows, grades, 3, 8)
+    got = np.concatenate((model.weights[:3], model.thresholds))
+    assert np.allclose(got, p, atol=0.05) and loss(got) <= loss(p) + 1e-4 and (model.weights[3:] == 0).all()
+
+
 # licences
 
 
