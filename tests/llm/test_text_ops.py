@@ -53,8 +53,12 @@ def items(rows):
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_contamination_matches_brute_force(spark, docs, rows, items, limit):
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs, bench, max_broadcast=limit).drop("items").collect()
-    assert sorted([tuple(r) for r in got], key=str) == brute_contamination(rows, items)
+    for table in (docs, docs.select("*", *[F.lit("x").alias(c) for c in ("_at", "_n", "_row", "_words", "n_hit", "_gram", "item_id")])):
+        got = decontaminate.contamination(table, bench, max_broadcast=limit).drop("items").collect()
+        assert sorted([tuple(r) for r in got], key=str) == brute_contamination(rows, items)
+    long = bench.where("item_id IN (1, 30)")  # windows of one length
+    got = decontaminate.contamination(docs, long, max_broadcast=limit).drop("items").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_contamination(rows, [x for x in items if x[0] in (1, 30)])
 
 
 def test_contamination_of_empty_tables(spark, docs, rows, empty, items):
