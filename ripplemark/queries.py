@@ -279,14 +279,14 @@ def hub_callees(spark, sf_dir):
 
 
 @query("""WITH i AS (SELECT l_returnflag AS f, p_type AS a, l_suppkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey),
-x AS (SELECT DISTINCT a, b FROM i WHERE f = 'A'), y AS (SELECT DISTINCT a, b FROM i WHERE f = 'R')
+x AS (SELECT DISTINCT a, b FROM i WHERE f <> 'R'), y AS (SELECT DISTINCT a, b FROM i WHERE f <> 'A')
 SELECT coalesce(x.a, y.a) AS from_package, coalesce(x.b, y.b) AS to_package,
 CASE WHEN x.a IS NULL THEN 'added' WHEN y.a IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM x FULL JOIN y ON x.a = y.a AND x.b = y.b""")
 def package_hub(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     e = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
     e = e.select(F.col("p_type").alias("from_package"), F.col("l_suppkey").alias("to_package"), "l_returnflag")
-    return joins.status_of_sets(e.where("l_returnflag = 'A'"), e.where("l_returnflag = 'R'"), ["from_package", "to_package"])
+    return joins.status_of_sets(e.where("l_returnflag <> 'R'"), e.where("l_returnflag <> 'A'"), ["from_package", "to_package"])
 
 
 @query("""WITH own AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS ln, l_partkey % 7 AS call, l_partkey AS t FROM lineitem),
@@ -304,22 +304,21 @@ def resolver_override(spark, sf_dir):
     return joins.overridden(own, told, ["o", "ln"], "t", F.col("t") % 7 == F.col("call"))
 
 
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey, l_returnflag, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) = 1")
 def unique_import_method(spark, sf_dir):
-    return joins.only_one(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), ["l_partkey"], "l_suppkey")
+    return joins.only_one(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], "l_suppkey")
 
 
-@query("""WITH req AS (SELECT DISTINCT p_type || p_size AS iface, p_brand AS method FROM part),
-mem AS (SELECT DISTINCT l_suppkey AS type, p_brand AS method FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 AND l_returnflag = 'R'),
+@query("""WITH req AS (SELECT DISTINCT p_type || p_size AS iface, p_partkey AS method FROM part),
+mem AS (SELECT DISTINCT l_suppkey AS type, l_partkey AS method FROM lineitem),
 need AS (SELECT iface, count(*) AS n FROM req GROUP BY iface),
 have AS (SELECT r.iface, m.type, count(*) AS n FROM req r JOIN mem m ON m.method = r.method GROUP BY ALL),
 f AS (SELECT h.iface, h.type FROM have h JOIN need ON need.iface = h.iface AND need.n = h.n)
 SELECT iface, type FROM f WHERE iface IN (SELECT iface FROM f GROUP BY iface HAVING count(*) <= 8)""")
 def interface_division(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    required = part.select(F.concat("p_type", F.col("p_size").cast("string")).alias("iface"), F.col("p_brand").alias("method"))
-    items = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_returnflag = 'R'").join(part, F.col("p_partkey") == F.col("l_partkey"))
-    members = items.select(F.col("l_suppkey").alias("type"), F.col("p_brand").alias("method"))
+    required = part.select(F.concat("p_type", F.col("p_size").cast("string")).alias("iface"), F.col("p_partkey").alias("method"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("type"), F.col("l_partkey").alias("method"))
     return joins.divides(members, required, ["type"], ["iface"], "method", most=8)
 
 
@@ -623,18 +622,18 @@ name = "currency"
 kind = "line"
 scope = "reach"
 severity = "low"
-pattern = '''\\b[a-z]{12,}\\b'''
+pattern = '''(?:^|[^A-Za-z0-9_])[a-z]{12,}(?:$|[^A-Za-z0-9_])'''
 title = "long word{in_function}"
 """
 
 
 @query(f"""WITH {LINES_SQL}, l AS (SELECT path, idx + 1 AS line, line AS text, idx // 5 AS f FROM head),
-h AS (SELECT path, f, min(line) AS line FROM l WHERE regexp_matches(text, '\\b[a-z]{{12,}}\\b') AND regexp_full_match(text, '[\\x00-\\x7f]*') GROUP BY ALL)
+h AS (SELECT path, f, min(line) AS line FROM l WHERE regexp_matches(text, '(?:^|[^A-Za-z0-9_])[a-z]{{12,}}(?:$|[^A-Za-z0-9_])') GROUP BY ALL)
 SELECT 'currency' AS rule, 'low' AS severity, 'long word in f' || f AS title, path, line::INT AS line, path || '::' || f AS function FROM h""")
 def line_rule_reach(spark, sf_dir):
     _, head = virtual.lines(spark, sf_dir)
-    ascii_only = F.col("text").rlike(r"^[\x00-\x7f]*$")  # word boundaries differ between dialects elsewhere
-    text = head.select("path", (F.col("idx") + 1).alias("line"), F.col("line").alias("text")).where(ascii_only)
+    # classes of ASCII in place of word boundaries, which dialects read differently beyond ASCII
+    text = head.select("path", (F.col("idx") + 1).alias("line"), F.col("line").alias("text"))
     f = F.floor(F.col("idx") / 5).cast("int")
     functions = head.select("path", f.alias("f")).distinct().select(
         F.concat("path", F.lit("::"), F.col("f").cast("string")).alias("id"), F.concat(F.lit("f"), F.col("f").cast("string")).alias("name"), "path",
