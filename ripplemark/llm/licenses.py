@@ -1,11 +1,16 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only.
 
-Units of comparison are the lines of every text, and the whole text of a
-licence file. A term's document frequency is counted over all documents. The
-templates are few and fixed, so their vectors sit in the plan. A unit can only
-reach the least cosine with a template if it holds one of the terms that carry
-the template's weight; units without any are left out by that bound before
-they are cut into terms, which loses none.
+Units of comparison are the lines and the paragraphs of every text, and the
+whole text of a licence file. A paragraph ends at a line without letters and
+digits, so the wrapped header of a comment is one. A term's document frequency
+is counted over all documents. The templates are few and fixed, so their vectors
+sit in the plan. A unit can only reach the least cosine with a template if it
+holds one of the terms that carry the template's weight; units without any are
+left out by that bound before they are cut into terms, which loses none.
+
+The cosine cannot tell versions and relatives of a licence apart. So a template
+names terms that a unit must have beside it, as the number of the version, and
+terms that it must not have.
 
 A file takes the licence it states itself. Others take the one of the licence
 file in the nearest directory above them: every directory is resolved once
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,40 +29,104 @@ from pyspark.sql import functions as F
 from .scratch import saved
 from .words import ascii_lower, between
 
+class Template(NamedTuple):
+    """A notice: terms that a unit needs and refuses, and what outranks others of the same text, whatever their cosines."""
+
+    license: str
+    text: str
+    needs: tuple[str, ...] = ()
+    refuses: tuple[str, ...] = ()
+    rank: int = 0
+
+
+def _gnu(name: str, title: str, version: str, date: str, subject: str, needs: tuple[str, ...], refuses: tuple[str, ...]) -> list[Template]:
+    """The notices of a GNU licence: a short one, that of a file, and the licence's title."""
+    texts = (
+        f"This work is licensed under the {title}, version {version}.",
+        f"This {subject} is free software: you can redistribute it and/or modify it under the terms of the {title} as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        f"{title} Version {version}, {date} Copyright Free Software Foundation, Inc. Everyone is permitted to copy and distribute "
+        "verbatim copies of this license document, but changing it is not allowed.",
+        f"{title} Version {version}, {date}",
+    )
+    return [Template(name, t, ("public", *needs), refuses) for t in texts]
+
+
+_PERMISSION = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 #: Fixed texts of notices, as their owners word them.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
+_NOTICES = (
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2")),
+    Template(
         "Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        ("apache", "2"),
     ),
-    ("MIT", "Released under the MIT License."),
-    (
+    Template("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", ("apache", "2")),
+    Template("MIT", "Released under the MIT License.", ("mit",)),
+    Template("MIT", "The MIT License (MIT)", ("mit",)),
+    Template(
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction',
+        ("free", "charge"),
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License",
+    Template(
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:",
+        ("free", "charge"),
     ),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("LicenseRef-proprietary", "All rights reserved."),
+    *_gnu("GPL-2.0", "GNU General Public License", "2", "June 1991", "program", ("2",), ("lesser", "library", "affero")),
+    *_gnu("GPL-3.0", "GNU General Public License", "3", "29 June 2007", "program", ("3",), ("lesser", "library", "affero")),
+    *_gnu("LGPL-2.1", "GNU Lesser General Public License", "2.1", "February 1999", "library", ("lesser", "2", "1"), ("affero",)),
+    *_gnu("LGPL-3.0", "GNU Lesser General Public License", "3", "29 June 2007", "library", ("lesser", "3"), ("affero",)),
+    *_gnu("AGPL-3.0", "GNU Affero General Public License", "3", "19 November 2007", "program", ("affero", "3"), ("lesser",)),
+    Template("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3.", ("lesser", "3")),
+    Template("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3.", ("affero", "3")),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2")),
+    Template("MPL-2.0", "Mozilla Public License Version 2.0", ("mozilla", "2")),
+    Template("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ("bsd",)),
+    Template("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution", "binary")),
+    Template(
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:",
+        ("redistribution", "binary"),
+    ),
+    Template(
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+        ("endorse", "neither"),
+        rank=1,  # what makes three clauses of two
+    ),
+    Template("ISC", f"{_PERMISSION}, provided that the above copyright notice and this permission notice appear in all copies.", ("fee", "provided")),
+    Template("0BSD", f"{_PERMISSION}.", ("fee",), ("provided",)),
+    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "nc", "4")),
+    Template("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("attribution", "4"), ("noncommercial", "sharealike", "noderivatives")),
+    Template("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("sharealike", "4"), ("noncommercial",)),
+    Template("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("noncommercial", "4"), ("sharealike", "noderivatives")),
+    Template("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal.", ("cc0",)),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",)),
+    Template("LicenseRef-proprietary", "All rights reserved.", ("all", "rights", "reserved")),
 )
+
+
+def _identifiers(names: list[str]) -> list[Template]:
+    """The one-line notice that names a licence by its identifier."""
+    return [Template(n, f"SPDX-License-Identifier: {n}", ("spdx", *re.findall(r"[a-z0-9]+", n.lower()))) for n in names if "Ref" not in n]
+
+
+TEMPLATES = (*_NOTICES, *_identifiers(sorted({t.license for t in _NOTICES})))
 LEAST = 0.7
 _TERM, _NO_TERM = r"[a-z0-9]+", r"[^a-z0-9]+"
 #: Name of a licence file.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
+#: What ends a paragraph: a line without letters and digits.
+_GAP = r"\n[^A-Za-z0-9\n]*\n"
 
 
 def _terms(text: Column) -> Column:
@@ -66,16 +136,18 @@ def _terms(text: Column) -> Column:
 class Vectors:
     """Unit vectors of the templates under an inverse document frequency."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], seen: dict[str, int], n_docs: int, least: float):
-        counts = [(name, _count(text)) for name, text in templates]
-        self.idf = {t: math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1 for _, c in counts for t in c}
+    def __init__(self, templates: tuple[Template, ...], seen: dict[str, int], n_docs: int, least: float):
+        counts = [_count(t.text) for t in templates]
+        terms = {t for c in counts for t in c} | {t for x in templates for t in (*x.needs, *x.refuses)}
+        self.idf = {t: math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1 for t in terms}
         #: of a term that no template has; as that of a term no document has
         self.unknown = math.log(1 + n_docs) + 1
         self.rows, self.strong = [], set()
-        for nth, (name, c) in enumerate(counts):
+        for nth, (template, c) in enumerate(zip(templates, counts, strict=True)):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             weights = {t: n * self.idf[t] / norm for t, n in c.items()}
-            self.rows += [(nth, name, t, w) for t, w in weights.items()]
+            self.rows += [(nth, template.license, template.rank, len(template.needs), t, w, int(t in template.needs), 0) for t, w in weights.items()]
+            self.rows += [(nth, template.license, template.rank, len(template.needs), t, 0.0, 0, 1) for t in template.refuses]
             # with only the lightest terms the cosine stays below `least`
             spent = 0.0
             for t, w in sorted(weights.items(), key=lambda x: x[1]):
@@ -91,9 +163,9 @@ def _count(text: str) -> dict[str, int]:
     return found
 
 
-def vectors(docs: DataFrame, text_col: str, templates: tuple[tuple[str, str], ...], least: float) -> Vectors:
+def vectors(docs: DataFrame, text_col: str, templates: tuple[Template, ...], least: float) -> Vectors:
     """Document frequencies of the templates' terms over all of ``docs``: one pass, a row per term back."""
-    vocabulary = sorted({t for _, text in templates for t in _count(text)})
+    vocabulary = sorted({t for x in templates for t in (*_count(x.text), *x.needs, *x.refuses)})
     held = F.array_intersect(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit("")))), F.array(*map(F.lit, vocabulary)))
     marked = docs.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("term"))  # the empty term counts documents
     seen = {r["term"]: r["n"] for r in marked.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -101,7 +173,7 @@ def vectors(docs: DataFrame, text_col: str, templates: tuple[tuple[str, str], ..
 
 
 def matches(units: DataFrame, found: Vectors, least: float) -> DataFrame:
-    """Best template of each (_row, _unit, _line): (_row, license, cosine) per row, ties by name."""
+    """Best template of each (_row, _unit, _line): (_row, license, cosine) per row; by rank, cosine, then name."""
     spark = units.sparkSession
     terms = (
         units.select("_row", "_unit", F.explode(_terms(F.col("_line"))).alias("term"))
@@ -113,18 +185,20 @@ def matches(units: DataFrame, found: Vectors, least: float) -> DataFrame:
         "x", F.col("tf") * F.coalesce("idf", F.lit(found.unknown))
     )
     # terms of no template count in the norm alone
-    rows = spark.createDataFrame(found.rows, "nth int, license string, term string, w double")
-    by_template = rows.groupBy("term").agg(F.collect_list(F.struct("nth", "license", "w")).alias("of"))
+    rows = spark.createDataFrame(found.rows, "nth int, license string, rank int, needs int, term string, w double, need int, refuse int")
+    by_template = rows.groupBy("term").agg(F.collect_list(F.struct("nth", "license", "rank", "needs", "w", "need", "refuse")).alias("of"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("_row", "_unit")))
     dots = (
         weighed.withColumn("norm", norm)
         .join(F.broadcast(by_template), "term")
         .select("_row", "_unit", "norm", "x", F.explode("of").alias("t"))
-        .groupBy("_row", "_unit", "norm", "t.nth", "t.license")
-        .agg((F.sum(F.col("x") * F.col("t.w")) / F.col("norm")).alias("cosine"))
-        .where(F.col("cosine") >= least)
-    )
-    best = F.max_by(F.struct("license", "cosine"), F.struct(F.round("cosine", 9), F.col("license")))
+        .groupBy("_row", "_unit", "norm", "t.nth", "t.license", "t.rank", "t.needs")
+        .agg(
+            (F.sum(F.col("x") * F.col("t.w")) / F.col("norm")).alias("cosine"), F.sum("t.need").alias("have"), F.sum("t.refuse").alias("against")
+        )
+        .where((F.col("cosine") >= least) & (F.col("have") == F.col("needs")) & (F.col("against") == 0))
+    )
+    best = F.max_by(F.struct("license", "cosine"), F.struct("rank", F.round("cosine", 9), "license"))
     return dots.groupBy("_row").agg(best.alias("b")).select("_row", "b.license", "b.cosine")
 
 
@@ -139,7 +213,7 @@ def scan(
     path: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[Template, ...] = TEMPLATES,
     least: float = LEAST,
 ) -> DataFrame:
     """One row per row of ``docs``: id, path, license, cosine, origin, from_directory.
@@ -155,7 +229,8 @@ def scan(
     text = F.coalesce(F.col(text_col), F.lit(""))
     is_license = F.coalesce(F.regexp_extract(path, r"([^/]*)$", 1).rlike(LICENSE_FILE), F.lit(False))
     strong = r"(?i)(?<![a-z0-9])(" + "|".join(sorted(found.strong) or ["(?!)"]) + r")(?![a-z0-9])"
-    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(strong))
+    units = F.concat(F.split(text, "\n", -1), F.filter(F.split(text, _GAP, -1), lambda part: F.contains(part, F.lit("\n"))))
+    lines = F.filter(units, lambda line: line.rlike(strong))
     rows = saved(
         docs.select(
             F.col(id_col).alias("_id"),

@@ -96,14 +96,20 @@ SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hw.n_hit, 0)::BIGINT AS
 FROM dw LEFT JOIN hw ON dw.r = hw.r LEFT JOIN hi ON dw.r = hi.r
 """
 
+def _sql_list(items) -> str:
+    return "[" + ", ".join(f"'{i}'" for i in items) + "]::VARCHAR[]"
+
+
 _TEMPLATE_ROWS = ", ".join(
-    "({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(_licenses.TEMPLATES)
+    "({}, '{}', '{}', {}, {}, {})".format(i, t.license, t.text.replace("'", "''"), _sql_list(t.needs), _sql_list(t.refuses), t.rank)
+    for i, t in enumerate(_licenses.TEMPLATES)
 )
 OP3_SQL = rf"""
-WITH tpl(nth, license, body) AS (VALUES {_TEMPLATE_ROWS}),
+WITH tpl(nth, license, body, needs, refuses, rank) AS (VALUES {_TEMPLATE_ROWS}),
 tc AS (SELECT nth, license, term, count(*) AS n
        FROM (SELECT nth, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM tpl) GROUP BY ALL),
-voc AS (SELECT DISTINCT term FROM tc),
+ref AS (SELECT nth, license, unnest(refuses) AS term FROM tpl),
+voc AS (SELECT term FROM tc UNION SELECT term FROM ref UNION SELECT unnest(needs) FROM tpl),
 d AS (SELECT doc_id, row_number() OVER () AS r,
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
              concat_ws('/', source, lang, CASE WHEN doc_id % 100 <> 0 THEN 'h' || (doc_id // 100) END,
@@ -115,15 +121,21 @@ df AS (SELECT term, count(*) AS c FROM (SELECT DISTINCT r, unnest(regexp_extract
 idf AS (SELECT voc.term, ln((1 + n.n) / (1 + coalesce(df.c, 0))) + 1 AS idf FROM n, voc LEFT JOIN df ON df.term = voc.term),
 w AS (SELECT nth, license, tc.term, tc.n * idf AS x, sqrt(sum((tc.n * idf) ** 2) OVER (PARTITION BY nth)) AS norm
       FROM tc JOIN idf ON idf.term = tc.term),
+wr AS (SELECT w.*, tpl.rank, len(tpl.needs) AS needs, list_contains(tpl.needs, term)::INT AS need, 0 AS refuse FROM w JOIN tpl ON tpl.nth = w.nth
+       UNION ALL SELECT ref.nth, ref.license, ref.term, 0, 1, tpl.rank, len(tpl.needs), 0, 1 FROM ref JOIN tpl ON tpl.nth = ref.nth),
 u AS (SELECT r, unnest(string_split(t, chr(10))) AS body, generate_subscripts(string_split(t, chr(10)), 1) AS unit FROM d
+      UNION ALL SELECT r, body, -unit FROM (
+        SELECT r, unnest(string_split_regex(t, '\n[^A-Za-z0-9\n]*\n')) AS body, generate_subscripts(string_split_regex(t, '\n[^A-Za-z0-9\n]*\n'), 1) AS unit FROM d)
+      WHERE contains(body, chr(10))
       UNION ALL SELECT r, t, 0 FROM d WHERE regexp_matches(path, '(^|/)(?i:licen[cs]e|copying|notice)([._-][^/]*)?$')),
 ut AS (SELECT r, unit, term, count(*) AS tf
        FROM (SELECT r, unit, unnest(regexp_extract_all(body, '[a-z0-9]+')) AS term FROM u) GROUP BY ALL),
 ux AS (SELECT r, unit, ut.term, tf * coalesce(idf, ln(1 + n.n) + 1) AS x FROM n, ut LEFT JOIN idf ON idf.term = ut.term),
 un AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY r, unit)) AS norm FROM ux),
-co AS (SELECT r, unit, nth, license, sum(un.x * w.x / w.norm) / any_value(un.norm) AS cosine
-       FROM un JOIN w ON w.term = un.term GROUP BY ALL HAVING cosine >= 0.7),
-own AS (SELECT r, arg_max(license, (round(cosine, 9), license)) AS license, max(round(cosine, 9)) AS cosine FROM co GROUP BY r),
+co AS (SELECT r, unit, nth, license, rank, sum(un.x * w.x / w.norm) / any_value(un.norm) AS cosine
+       FROM un JOIN wr AS w ON w.term = un.term GROUP BY r, unit, nth, license, rank
+       HAVING cosine >= 0.7 AND sum(need) = any_value(needs) AND sum(refuse) = 0),
+own AS (SELECT r, arg_max(license, (rank, round(cosine, 9), license)) AS license, arg_max(round(cosine, 9), (rank, round(cosine, 9), license)) AS cosine FROM co GROUP BY r),
 f AS (SELECT d.r, d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS dir, own.license, own.cosine,
              regexp_matches(path, '(^|/)(?i:licen[cs]e|copying|notice)([._-][^/]*)?$') AS is_license FROM d LEFT JOIN own ON own.r = d.r),
 de AS (SELECT dir AS up, arg_max(license, (cosine, license)) AS license, max(cosine) AS cosine FROM f
