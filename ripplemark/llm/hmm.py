@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,19 +238,21 @@ def _step(encoded: DataFrame, model: Model, classes: int) -> tuple[np.ndarray, n
                     total += more
         flat = np.concatenate([x.reshape(-1) for x in sums])
         parts = [x.astype("<f8").tobytes() for x in np.array_split(flat, _SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "sums"])
+        task = [TaskContext.get().partitionId()] * _SLICES
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(task, pa.int32()), pa.array(parts, pa.binary())], ["slice", "task", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(x, "<f8")
         yield pa.RecordBatch.from_arrays(
             [pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "sums"]
         )
 
-    schema = "slice int, sums binary"
-    added = encoded.mapInArrow(count, schema).repartition(_SLICES, "slice").mapInArrow(add, schema)
+    partial = encoded.mapInArrow(count, "slice int, task int, sums binary").repartition(_SLICES, "slice")
+    # in the order of the tasks, so that reruns agree to the last digit
+    added = partial.sortWithinPartitions("slice", "task").mapInArrow(add, "slice int, sums binary")
     parts = {r["slice"]: np.frombuffer(r["sums"], "<f8") for r in added.collect()}  # the model's size, whatever the corpus
     sent.destroy()
     flat = np.concatenate([parts[i] for i in range(_SLICES)]) if parts else np.zeros(k * pad + k * k + k)

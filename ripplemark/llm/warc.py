@@ -6,21 +6,23 @@ validators agree, the response's headers are brought up to date with those of
 the revisit that a not-modified answer may change.
 
 An address with a third of all captures does not end in one task: time is cut
-into slices, the latest response is found inside each (address, slice), and
-only one row per slice is carried over to later ones. Bodies take no part in
-the join; it moves ids, times and headers.
+into slices with about as many captures each, the latest response is found
+inside each (address, slice), and only one row per slice is carried over to
+later ones. Bodies take no part in the join; it moves ids, times and headers.
 """
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICES = 1024
+#: Slices of time: so many, each of so many.
+SLICES = 32
+_CHUNK = 1 << 20
 #: Headers that describe the stored body or the connection, which a not-modified answer leaves as they were.
 KEPT_HEADERS = (
     "connection content-encoding content-length content-range content-type keep-alive proxy-authenticate "
@@ -31,12 +33,13 @@ _TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case without www. and default port, no fragment, no tracking
+    """Scheme and host in lower case without www. and the scheme's own port, no fragment, no tracking
     parameters, the others in order, no closing slash. Null stays null."""
     bare = F.regexp_replace(F.trim(url), r"#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r":(80|443)$", "")
+    host = F.regexp_replace(host, r"^www\.", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(rf"^(?i){_TRACKING}(=|$)")))
@@ -55,26 +58,42 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(old, new)
 
 
+def _slice(records: DataFrame, slices: int) -> Column:
+    """Which of ``slices`` times ``slices`` slices of time ``at`` is in, by approximate quantiles over all records."""
+    n = slices * slices
+    found = records.select(F.col("at").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    edges = found or [0.0] * (n - 1)
+    at_least = lambda of: F.size(F.filter(of, lambda e: e <= F.col("at")))
+    array = lambda of: F.array(*map(F.lit, of)).cast("array<double>")
+    coarse = at_least(array(edges[slices - 1 :: slices]))
+    fine = F.array(*[array(edges[i * slices : (i + 1) * slices - 1]) for i in range(slices)])
+    return coarse * slices + at_least(F.get(fine, coarse))
+
+
 def resolve_revisits(records: DataFrame, *, slices: int = SLICES) -> DataFrame:
     """One row per revisit: record_id, url, response_id, outcome, headers.
 
     ``records`` has record_id, kind (``response`` or ``revisit``; others play
     no part), url, at (a whole number, the time) and headers (a map, names in
-    lower case). Outcomes: ``resolved``; ``changed`` where the entity tags, or
-    without both of those the last-modified dates, differ; ``unchecked`` where
-    neither is on both sides; ``missing`` where no response is earlier. Only
+    lower case). Where it has ``status`` and ``truncated``, a response is full
+    if its status is 200 and it isn't truncated, and others play no part.
+    Outcomes: ``resolved``; ``changed`` where the entity tags, or without both
+    of those the last-modified dates, differ; ``unchecked`` where neither is on
+    both sides; ``missing`` where no full response is earlier. Only
     ``resolved`` rows have headers. Of responses at the same time the largest
     record_id is the latest. A revisit without url or time is missing. Rows may
-    repeat; extra columns play no part.
+    repeat; other columns play no part. An empty table gives no rows.
     """
-    ends = records.where(F.col("kind").isin("response", "revisit")).agg(F.min("at").alias("a"), F.max("at").alias("z")).first()
-    width = max(1, -(-((ends["z"] or 0) - (ends["a"] or 0) + 1) // slices))
-    rows = records.where(F.col("kind").isin("response", "revisit")).select(
+    full = F.lit(True)
+    if {"status", "truncated"} <= set(records.columns):
+        full = (F.col("status") == 200) & ~F.coalesce("truncated", F.lit(False))
+    records = records.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & full))
+    rows = records.select(
         F.col("record_id").alias("_id"),
         F.col("kind").alias("_kind"),
         canonical_url(F.col("url")).alias("_url"),
         F.col("at").cast("long").alias("_at"),
-        F.floor((F.col("at") - F.lit(ends["a"] or 0)) / F.lit(width)).cast("long").alias("_slice"),
+        _slice(records, slices).alias("_slice"),
         F.when(F.col("headers").isNotNull(), F.col("headers")).otherwise(F.create_map().cast("map<string,string>")).alias("_headers"),
     )
     is_response = F.col("_kind") == "response"
@@ -134,21 +153,59 @@ def captures(pages: DataFrame) -> DataFrame:
     )
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with names in lower case, block) of each record; a cut last record ends the list."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a file in parts, decompressed if it is gzip; what is cut or broken ends it."""
+    view, at = memoryview(data), 0
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[i : i + _CHUNK]) for i in range(0, len(view), _CHUNK))
+        return
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            part = view[at : at + _CHUNK // 8]
+            try:
+                yield member.decompress(part)
+            except zlib.error:
+                return
+            at += len(part) - len(member.unused_data)
+
+
+def parse_records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with names in lower case, block) of each record, holding one record at a time.
+
+    A cut last record ends the list. A record without a length that is a number is left out.
+    """
+    parts, buffer, at = iter(parts), bytearray(), 0
+
+    def find(mark: bytes, start: int) -> int:
+        """Where ``mark`` is, reading on if need be; -1 at the end."""
+        while (found := buffer.find(mark, start)) < 0:
+            start = max(start, len(buffer) - len(mark) + 1)
+            more = next(parts, None)
+            if more is None:
+                return -1
+            buffer.extend(more)
+        return found
+
+    while True:
+        del buffer[:at]
+        start = find(b"WARC/", 0)
+        end = find(b"\r\n\r\n", start) if start >= 0 else -1
         if end < 0:
             return
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = buffer[start:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(headers.get("content-length", "0") or 0)
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length:
-            return
-        yield headers, block
-        at = end + 4 + length
+        length = headers.get("content-length", "")
+        at = end + 4
+        if not (length.isascii() and length.isdigit()):
+            continue
+        while len(buffer) < at + int(length):
+            more = next(parts, None)
+            if more is None:
+                return
+            buffer.extend(more)
+        yield headers, bytes(buffer[at : at + int(length)])
+        at += int(length)
 
 
 def format_record(headers: dict[str, str], block: bytes) -> bytes:
@@ -157,34 +214,56 @@ def format_record(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+def http_of(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """(status, headers with names in lower case, body) of an HTTP message; of headers that repeat, the last."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    first, *lines = head.decode("latin-1").split("\r\n")
+    said = first.split()
+    status = int(said[1]) if len(said) > 1 and said[0].upper().startswith("HTTP/") and said[1].isascii() and said[1].isdigit() and len(said[1]) < 5 else None
+    return status, list(dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines)).items()), body
+
+
+_RECORD = "record_id string, kind string, url string, time string, status int, truncated boolean, http_headers map<string,string>, body binary"
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, kind, url, time, http_headers, body) of the response and revisit records of WARC files,
-    plain or compressed a record at a time; files are the unit of work."""
+    """(record_id, kind, url, time, status, truncated, http_headers, body) of the response and revisit records of WARC files.
+
+    Files are plain or compressed a record at a time, and the unit of work: a task holds one file as it is stored, which
+    Spark limits to 2 GB, and the records of a batch. Broken and cut records are left out. What a record does not say is
+    null; an empty file has no records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for headers, block in parse_records(data):
+                rows, size = [], 0
+                for headers, block in parse_records(inflated(content.as_py())):
                     if headers.get("warc-type") not in ("response", "revisit"):
                         continue
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    lines = head.decode("latin-1").split("\r\n")[1:]
-                    http = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+                    status, http, body = http_of(block)
                     rows.append((headers.get("warc-record-id"), headers["warc-type"], headers.get("warc-target-uri"),
-                                 headers.get("warc-date"), list(dict(http).items()), body))
-                    if len(rows) == 1000:
+                                 headers.get("warc-date"), status, "warc-truncated" in headers, http, body))
+                    size += len(block)
+                    if len(rows) == 1000 or size > 16 * _CHUNK:
                         yield _records(rows)
-                        rows = []
+                        rows, size = [], 0
                 yield _records(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, kind string, url string, time string, http_headers map<string,string>, body binary")
+    return files.mapInArrow(run, _RECORD)
+
+
+def records_of(read: DataFrame) -> DataFrame:
+    """What :func:`read_warc` gives, as :func:`resolve_revisits` takes it: times as microseconds, headers without bodies.
+
+    A time that cannot be read is null, which makes a revisit missing.
+    """
+    at = F.unix_micros(F.try_to_timestamp("time"))
+    return read.select("record_id", "kind", "url", at.alias("at"), F.col("http_headers").alias("headers"), "status", "truncated")
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.binary()]
     columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["record_id", "kind", "url", "time", "http_headers", "body"])
+    return pa.RecordBatch.from_arrays(columns, ["record_id", "kind", "url", "time", "status", "truncated", "http_headers", "body"])
