@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import Saved, saved
 
 RUNS = 64
 FAN_IN = 4
@@ -42,24 +42,26 @@ def _best(keep: str) -> Column:
     return F.struct(F.col("_id").isNull().alias("none"), size.alias("by"), F.col("_row").alias("row"), F.col("_id").alias("id"))
 
 
-def _merged(level: DataFrame, fan_in: int) -> DataFrame:
+def _merged(level: DataFrame, fan_in: int) -> Saved:
     """Every ``fan_in`` runs exchanged and merged: of neighbours in digest order that agree, the best stays."""
     text = Window.partitionBy("_run", *_KEY).orderBy("_best")
     size = F.sum("_size").over(text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     exchanged = level.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
     merged = exchanged.select("_run", *_KEY, "_best", size.alias("_size"), F.row_number().over(text).alias("_nth"))
-    return saved(merged.where("_nth = 1").drop("_nth"), "run")
+    return Saved(merged.where("_nth = 1").drop("_nth"), "run")
 
 
 def _levels(rows: DataFrame, keep: str, runs: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
     """The first level of runs and the last, which is one run."""
     distinct = rows.groupBy("_run", *_KEY).agg(F.min(_best(keep)).alias("_best"), F.count(F.lit(1)).alias("_size"))
-    first = level = saved(distinct.sortWithinPartitions("_run", *_KEY), "run")
+    first = level = Saved(distinct.sortWithinPartitions("_run", *_KEY), "run")
     left = runs
     while left > 1:
         left = -(-left // fan_in)
-        level = _merged(level, fan_in)
-    return first, level.drop("_run")
+        before, level = level, _merged(level.df, fan_in)
+        if before is not first:
+            before.drop()
+    return first.df, level.df.drop("_run")
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, runs: int, normalise) -> DataFrame:

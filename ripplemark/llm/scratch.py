@@ -2,7 +2,9 @@
 
 They are Parquet files in the folder that the cluster names in
 ``spark.checkpoint.dir``, which the driver and all executors share, so a lost
-executor costs a re-read and not a recomputation.
+executor costs a re-read and not a recomputation. A result may read them long
+after the operator has returned; those that are not dropped before go when the
+driver ends.
 """
 
 from __future__ import annotations
@@ -34,13 +36,19 @@ class Saved:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{folder(self.spark).rstrip('/')}/ripplemark/{label}-{uuid.uuid4().hex}"
+        path, store = self._stored()
+        store.deleteOnExit(path)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def _stored(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = self._stored()
+        store.delete(path, True)
+        store.cancelDeleteOnExit(path)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
