@@ -13,6 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The files are in the folder that ``spark.checkpoint.dir`` names, which all
     executors share. Only a local session that names none gets one of its own.
+    They go when the driver ends.
     """
     context = df.sparkSession.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
@@ -20,4 +21,6 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not re.match(r"local(\[|$)", df.sparkSession.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         df.sparkSession.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="ripplemark-"))
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir().get())  # the session's own
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.checkpoint()
