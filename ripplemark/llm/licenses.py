@@ -4,9 +4,9 @@ Units of comparison are the lines and the paragraphs of every text, and the
 whole text of a licence file. A paragraph ends at a line without letters and
 digits, so the wrapped header of a comment is one. A term's document frequency
 is counted over all documents. The templates are few and fixed, so their vectors
-sit in the plan. A unit can only reach the least cosine with a template if it
-holds one of the terms that carry the template's weight; units without any are
-left out by that bound before they are cut into terms, which loses none.
+sit in the plan. Units that lack the rarest term that a template needs (or, of a
+template that needs none, all terms that carry its weight) cannot match and are
+left out before they are cut into terms, which loses none.
 
 The cosine cannot tell versions and relatives of a licence apart. So a template
 names terms that a unit must have beside it, as the number of the version, and
@@ -49,7 +49,7 @@ def _gnu(name: str, title: str, version: str, date: str, subject: str, needs: tu
         "verbatim copies of this license document, but changing it is not allowed.",
         f"{title} Version {version}, {date}",
     )
-    return [Template(name, t, ("public", *needs), refuses) for t in texts]
+    return [Template(name, t, ("gnu", *needs), refuses) for t in texts]
 
 
 _PERMISSION = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -148,6 +148,9 @@ class Vectors:
             weights = {t: n * self.idf[t] / norm for t, n in c.items()}
             self.rows += [(nth, template.license, template.rank, len(template.needs), t, w, int(t in template.needs), 0) for t, w in weights.items()]
             self.rows += [(nth, template.license, template.rank, len(template.needs), t, 0.0, 0, 1) for t in template.refuses]
+            if template.needs:  # a unit has all of them, so it has the rarest
+                self.strong.add(min(template.needs, key=lambda t: (seen.get(t, 0), t)))
+                continue
             # with only the lightest terms the cosine stays below `least`
             spent = 0.0
             for t, w in sorted(weights.items(), key=lambda x: x[1]):
