@@ -6,7 +6,8 @@ digits, so the wrapped header of a comment is one. A term's document frequency
 is counted over all documents. The templates are few and fixed, so their vectors
 sit in the plan. Units that lack the rarest term that a template needs (or, of a
 template that needs none, all terms that carry its weight) cannot match and are
-left out before they are cut into terms, which loses none.
+left out before they are cut into terms, which loses none. A unit is compared in its
+own row: only its best template goes on.
 
 The cosine cannot tell versions and relatives of a licence apart. So a template
 names terms that a unit must have beside it, as the number of the version, and
@@ -19,11 +20,12 @@ against its ancestors, and files join the directory they are in.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved
@@ -138,16 +140,23 @@ class Vectors:
 
     def __init__(self, templates: tuple[Template, ...], seen: dict[str, int], n_docs: int, least: float):
         counts = [_count(t.text) for t in templates]
-        terms = {t for c in counts for t in c} | {t for x in templates for t in (*x.needs, *x.refuses)}
+        terms = sorted({t for c in counts for t in c} | {t for x in templates for t in (*x.needs, *x.refuses)})
         self.idf = {t: math.log((1 + n_docs) / (1 + seen.get(t, 0))) + 1 for t in terms}
         #: of a term that no template has; as that of a term no document has
         self.unknown = math.log(1 + n_docs) + 1
-        self.rows, self.strong = [], set()
-        for nth, (template, c) in enumerate(zip(templates, counts, strict=True)):
+        self.templates, self.strong = [], set()
+        for template, c in zip(templates, counts, strict=True):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             weights = {t: n * self.idf[t] / norm for t, n in c.items()}
-            self.rows += [(nth, template.license, template.rank, len(template.needs), t, w, int(t in template.needs), 0) for t, w in weights.items()]
-            self.rows += [(nth, template.license, template.rank, len(template.needs), t, 0.0, 0, 1) for t in template.refuses]
+            self.templates.append(
+                {
+                    "license": template.license,
+                    "rank": template.rank,
+                    "needs": template.needs,
+                    "refuses": template.refuses,
+                    "weights": [{"term": t, "w": w * self.idf[t]} for t, w in weights.items()],  # for a term's bare count
+                }
+            )
             if template.needs:  # a unit has all of them, so it has the rarest
                 self.strong.add(min(template.needs, key=lambda t: (seen.get(t, 0), t)))
                 continue
@@ -175,34 +184,56 @@ def vectors(docs: DataFrame, text_col: str, templates: tuple[Template, ...], lea
     return Vectors(templates, seen, seen.pop("", 0), least)
 
 
+_TEMPLATES = "array<struct<license:string,rank:int,needs:array<string>,refuses:array<string>,weights:array<struct<term:string,w:double>>>>"
+
+
 def matches(units: DataFrame, found: Vectors, least: float) -> DataFrame:
-    """Best template of each (_row, _unit, _line): (_row, license, cosine) per row; by rank, cosine, then name."""
-    spark = units.sparkSession
-    terms = (
-        units.select("_row", "_unit", F.explode(_terms(F.col("_line"))).alias("term"))
-        .groupBy("_row", "_unit", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    idf = spark.createDataFrame(list(found.idf.items()) or [("", 0.0)], "term string, idf double")
-    weighed = terms.join(F.broadcast(idf), "term", "left").withColumn(
-        "x", F.col("tf") * F.coalesce("idf", F.lit(found.unknown))
+    """``units`` with ``_best`` (rank, c, license, cosine) instead of ``_line``: its best template by rank, cosine, then name, or null.
+
+    A unit's vector is made and compared in its own row, so no term is shuffled. Squares over all its terms
+    come from one walk over them in order; terms of no template count in the norm alone.
+    """
+    every = F.from_json(F.lit(json.dumps(found.templates)), _TEMPLATES)  # folded into a literal, as are the others
+    idf = F.from_json(F.lit(json.dumps(found.idf)), "map<string,double>")
+    known = F.array(*map(F.lit, found.idf))
+    held = F.array_intersect("_terms", known)
+
+    def fits(t: Column) -> Column:
+        return (F.size(F.array_except(t["needs"], "_held")) == 0) & ~F.arrays_overlap(t["refuses"], "_held")
+
+    def step(acc: Column, term: Column) -> Column:
+        run = F.when(term == acc["last"], acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        # the squares of 1, 2, 3, ... are sums of the first odd numbers
+        return F.struct(term.alias("last"), run.alias("run"), (acc["squares"] + 2 * run - 1).alias("squares"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("squares"))
+    squares = F.aggregate(F.array_sort("_terms"), start, step, lambda acc: acc["squares"])
+    mine = F.filter("_terms", lambda t: F.array_contains("_held", t))
+    counts = F.transform("_held", lambda t: F.struct(t.alias("term"), F.size(F.filter("_mine", lambda m: m == t)).cast("double").alias("tf")))
+    zero = F.lit(0.0)
+    others = F.aggregate("_tf", F.col("_squares").cast("double"), lambda a, x: a - x["tf"] * x["tf"])
+    norm = F.sqrt(
+        F.lit(found.unknown * found.unknown) * others
+        + F.aggregate("_tf", zero, lambda a, x: a + F.pow(x["tf"] * F.element_at(idf, x["term"]), F.lit(2.0)))
     )
-    # terms of no template count in the norm alone
-    rows = spark.createDataFrame(found.rows, "nth int, license string, rank int, needs int, term string, w double, need int, refuse int")
-    by_template = rows.groupBy("term").agg(F.collect_list(F.struct("nth", "license", "rank", "needs", "w", "need", "refuse")).alias("of"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("_row", "_unit")))
-    dots = (
-        weighed.withColumn("norm", norm)
-        .join(F.broadcast(by_template), "term")
-        .select("_row", "_unit", "norm", "x", F.explode("of").alias("t"))
-        .groupBy("_row", "_unit", "norm", "t.nth", "t.license", "t.rank", "t.needs")
-        .agg(
-            (F.sum(F.col("x") * F.col("t.w")) / F.col("norm")).alias("cosine"), F.sum("t.need").alias("have"), F.sum("t.refuse").alias("against")
-        )
-        .where((F.col("cosine") >= least) & (F.col("have") == F.col("needs")) & (F.col("against") == 0))
-    )
-    best = F.max_by(F.struct("license", "cosine"), F.struct("rank", F.round("cosine", 9), "license"))
-    return dots.groupBy("_row").agg(best.alias("b")).select("_row", "b.license", "b.cosine")
+    tf = F.map_from_entries("_tf")
+
+    def compared(t: Column) -> Column:
+        dot = F.aggregate(t["weights"], zero, lambda a, w: a + w["w"] * F.coalesce(F.element_at(tf, w["term"]), zero))
+        cosine = dot / norm
+        return F.struct(t["rank"].alias("rank"), F.round(cosine, 9).alias("c"), t["license"].alias("license"), cosine.alias("cosine"))
+
+    # a column exploded from an array of one stays a column of its own: plain ones would be computed again where they are used
+    kept = units.columns[:-1]
+    rows = units.select(*kept, F.explode(F.array(_terms(F.col("_line")))).alias("_terms"))
+    rows = rows.select("*", F.explode(F.array(held)).alias("_held"))
+    rows = rows.select("*", F.explode(F.array(F.filter(every, fits))).alias("_fit"))
+    some = F.size("_fit") > 0
+    rows = rows.select(*kept, "_held", "_fit", F.explode(F.array(F.struct(F.when(some, mine).alias("m"), F.when(some, squares).alias("s")))).alias("_v"))
+    rows = rows.select(*kept, "_held", "_fit", F.col("_v.m").alias("_mine"), F.col("_v.s").alias("_squares"))
+    rows = rows.select(*kept, "_fit", "_squares", F.explode(F.array(F.when(some, counts))).alias("_tf"))
+    best = F.array_max(F.filter(F.transform("_fit", compared), lambda b: b["cosine"] >= least))
+    return rows.select(*kept, F.when(some, best).alias("_best"))
 
 
 def _directory(path: Column) -> Column:
@@ -234,20 +265,19 @@ def scan(
     strong = r"(?i)(?<![a-z0-9])(" + "|".join(sorted(found.strong) or ["(?!)"]) + r")(?![a-z0-9])"
     units = F.concat(F.split(text, "\n", -1), F.filter(F.split(text, _GAP, -1), lambda part: F.contains(part, F.lit("\n"))))
     lines = F.filter(units, lambda line: line.rlike(strong))
-    rows = saved(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            path.alias("_path"),
-            is_license.alias("_is_license"),
-            F.when(is_license & text.rlike(strong), F.concat(F.array(text), lines)).otherwise(lines).alias("_lines"),
-            F.monotonically_increasing_id().alias("_row"),
-        ),
-        "licenses",
+    lines = F.when(is_license & text.rlike(strong), F.concat(F.array(text), lines)).otherwise(lines)
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"),  # before the explosion, as its rows share one
+        F.col(id_col).alias("_id"),
+        path.alias("_path"),
+        is_license.alias("_is_license"),
+        F.concat(F.array(F.lit("")), lines).alias("_lines"),  # the empty one stands for the row
+    ).select("_row", "_id", "_path", "_is_license", F.posexplode("_lines").alias("_unit", "_line"))
+    own = matches(rows, found, least).where("_unit = 0 OR _best IS NOT NULL").groupBy("_row")
+    own = own.agg(*(F.first(c).alias(c) for c in ("_id", "_path", "_is_license")), F.max("_best").alias("b"))
+    stated = saved(
+        own.select("_id", "_path", "_is_license", _directory(F.col("_path")).alias("_dir"), "b.license", "b.cosine"), "notices"
     )
-    units = rows.select("_row", F.posexplode("_lines").alias("_unit", "_line"))
-    own = saved(matches(units, found, least), "notices")
-    files = rows.select("_row", "_id", "_path", "_is_license", _directory(F.col("_path")).alias("_dir"))
-    stated = files.join(own, "_row", "left")
     declared = (
         stated.where(F.col("_is_license") & F.col("license").isNotNull())
         .groupBy("_dir")
@@ -260,7 +290,7 @@ def scan(
     )
     nearest = F.max(F.struct(F.length("_up").alias("n"), F.col("_up").alias("up"), F.col("_license").alias("l"), F.col("_cosine").alias("c")))
     inherited = (
-        files.where("_dir IS NOT NULL").select("_dir").distinct()
+        stated.where("_dir IS NOT NULL").select("_dir").distinct()
         .select("_dir", F.explode(F.array_distinct(above)).alias("_up"))
         .join(declared, "_up")
         .groupBy("_dir").agg(nearest.alias("i"))

@@ -332,7 +332,9 @@ def test_licences_of_labelled_texts(spark):
     rng = random.Random(11)
     filler = [" ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(40)) for _ in range(400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in LABELLED] + filler)], "doc_id long, text string")
-    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, path=F.concat(F.lit("d"), F.col("doc_id").cast("string"))).collect()}
+    rows = licenses.scan(df, path=F.concat(F.lit("d"), F.col("doc_id").cast("string"))).collect()
+    got = {r["doc_id"]: r["license"] for r in rows}
+    assert len(rows) == len(got) == len(LABELLED) + len(filler)
     assert {i: got[i] for i in range(len(LABELLED))} == {i: name for i, (name, _) in enumerate(LABELLED)}
     assert not any(got[len(LABELLED) + i] for i in range(len(filler)))
 
