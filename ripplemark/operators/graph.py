@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,8 +64,15 @@ def downstream(edges: DataFrame, origins: DataFrame, levels: int | None = None)
 _BITS, _NUMBERED = 62, 4096
 
 
-def upstream_of_each(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
-    """(origin, node, distance) of every origin on its own, itself at distance 0.
+class Walks(NamedTuple):
+    """Walks of many origins: which bit of which word each is, and the words that have come to a node at a distance."""
+
+    marks: DataFrame  # origin, g, w, nth, bit
+    words: DataFrame  # node, g, w, bits, distance
+
+
+def walks(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> Walks:
+    """Upstream of every origin on its own, itself at distance 0.
 
     The walks go together: an origin is a bit, and a node carries words of the bits that have come
     to it, so a level is one join with the edges for each word of origins and not for each origin.
@@ -73,7 +81,8 @@ def upstream_of_each(edges: DataFrame, origins: DataFrame, levels: int | None =
     group = F.pmod(F.xxhash64("origin"), F.lit(1 + named.count() // _NUMBERED))
     nth = F.row_number().over(Window.partitionBy("g").orderBy("origin")) - 1
     marks = named.withColumn("g", group).withColumn("n", nth)
-    marks = cut(marks.select("origin", "g", F.floor(F.col("n") / _BITS).alias("w"), F.expr(f"shiftleft(1L, n % {_BITS})").alias("bit")))
+    in_word = F.col("n") % _BITS
+    marks = cut(marks.select("origin", "g", F.floor(F.col("n") / _BITS).alias("w"), in_word.alias("nth"), F.expr(f"shiftleft(1L, n % {_BITS})").alias("bit")))
     key = ["node", "g", "w"]
     first = marks.groupBy(F.col("origin").alias("node"), "g", "w").agg(F.bit_or("bit").alias("bits")).withColumn("distance", F.lit(0))
     known = _Levels(first)
@@ -87,10 +96,26 @@ def upstream_of_each(edges: DataFrame, origins: DataFrame, levels: int | None =
         if frontier.isEmpty():
             break
         known.add(frontier)
-    held = known.all().join(marks, ["g", "w"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return Walks(marks, known.all())
+
+
+def upstream_of_each(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
+    """(origin, node, distance) of every origin on its own: the pairs of ``walks``, one row each."""
+    marks, words = walks(edges, origins, levels)
+    held = words.join(marks, ["g", "w"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     return held.select("origin", "node", "distance")
 
 
+def held_by_each(marks: DataFrame, words: DataFrame) -> DataFrame:
+    """(origin, kind, n): how many rows of ``words`` (kind, g, w, bits) hold an origin's bit, where any does.
+
+    A word's bits are summed side by side, so the pairs of origins and rows are counted without being made.
+    """
+    each = F.array(*(F.sum(F.shiftright("bits", i).bitwiseAND(F.lit(1))) for i in range(_BITS)))
+    sums = words.groupBy("kind", "g", "w").agg(each.alias("_each"))
+    return sums.select("kind", "g", "w", F.posexplode("_each").alias("nth", "n")).where("n > 0").join(marks, ["g", "w", "nth"]).select("origin", "kind", "n")
+
+
 def nearest_origin(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
     """(node, distance, chain) of each node that reaches an origin: a shortest chain, origin first.
 

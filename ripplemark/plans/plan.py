@@ -95,8 +95,9 @@ def make(texts: DataFrame, reported: DataFrame | None = None, sites: DataFrame |
     ).drop("prefix")
     nodes = cut(nodes.dropDuplicates(["node"]))
 
-    each = cut(graph.upstream_of_each(live, origins, hops).join(nodes.select("node"), "node", "left_semi"))
-    upstream = each.select("node").distinct()
+    each = graph.walks(live, origins, hops)
+    each = each._replace(words=cut(each.words.join(nodes.select("node"), "node", "left_semi")))
+    upstream = each.words.select("node").distinct()
     within = cut(nodes.join(upstream, "node", "left_semi"))
     entries = cut(graph.entry_points(within.where("change <> 'removed'"), live, graph.entry_kind()).select("node", "kind"))
     # a nested function that changed stands inside one that did; it is reported with the one around it

@@ -411,7 +411,7 @@ def nearest_change(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {EACH_SQL} SELECT node, kind FROM entries")
 def entry_points(spark, sf_dir):
-    return _entries(spark, sf_dir, _each(spark, sf_dir)).select("node", "kind")
+    return _entries(spark, sf_dir, _reached(spark, sf_dir)).select("node", "kind")
 
 
 @query("""WITH a AS (SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_partkey = s_suppkey * 7)
@@ -452,12 +452,12 @@ def reach_by_package(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {EACH_SQL} SELECT kind, count(*) AS n FROM entries GROUP BY kind")
 def entries_by_kind(spark, sf_dir):
-    return aggregates.entries_by_kind(_entries(spark, sf_dir, _each(spark, sf_dir)))
+    return aggregates.entries_by_kind(_entries(spark, sf_dir, _reached(spark, sf_dir)))
 
 
 def _symbols(spark, sf_dir):
-    each = _each(spark, sf_dir)
-    return aggregates.symbol_summary(each, virtual.functions(spark, sf_dir), _live(spark, sf_dir), _entries(spark, sf_dir, each))
+    each = graph.walks(_live(spark, sf_dir), _origins(spark, sf_dir), HOPS)
+    return aggregates.symbol_summary(each, virtual.functions(spark, sf_dir), _live(spark, sf_dir), _entries(spark, sf_dir, each.words))
 
 
 _SYMBOLS_SQL = f"WITH RECURSIVE {GRAPH_SQL}, {EACH_SQL}"
