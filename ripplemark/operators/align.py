@@ -44,7 +44,8 @@ def _anchored(units: DataFrame, matched: DataFrame, side: str) -> DataFrame:
     return top.unionByName(units.join(pairs, ["path", "parent"]).select(top.columns))
 
 
-def _to_fixed_point(base: DataFrame, head: DataFrame, matched: DataFrame, keys: list[str], tier: str) -> DataFrame:
+def _to_fixed_point(base: DataFrame, head: DataFrame, matched: DataFrame, keys: list[str], tier: str, nested: bool) -> DataFrame:
+    """Passes until one finds nothing; one is enough where no unit stands in another, as no new match is a parent."""
     while True:
         new = _pair(
             _anchored(_left(base, matched, "base"), matched, "base"),
@@ -52,6 +53,8 @@ def _to_fixed_point(base: DataFrame, head: DataFrame, matched: DataFrame, keys:
             ["path", "anchor", *keys],
             tier,
         )
+        if not nested:
+            return cut(matched.unionByName(new))
         new = cut(new)
         if new.isEmpty():
             return matched
@@ -62,12 +65,13 @@ def align(base: DataFrame, head: DataFrame) -> DataFrame:
     """(path, base_idx, head_idx, tier); one side is null for added and removed units, and so is the tier."""
     cols = ["path", "idx", "parent", "name", "body_hash"]
     base, head = base.select(*cols), head.select(*cols)
-    named = F.col("name").isNotNull()
+    named, inner = F.col("name").isNotNull(), F.col("parent").isNotNull()
+    nested = not base.where(inner).isEmpty() and not head.where(inner).isEmpty()
     matched = cut(_pair(base.where(named), head.where(named), ["path", "name"], "exact"))
-    matched = _to_fixed_point(base, head, matched, ["body_hash"], "body_hash")
+    matched = _to_fixed_point(base, head, matched, ["body_hash"], "body_hash", nested)
     loose = _pair(_left(base, matched, "base"), _left(head, matched, "head"), ["path", "body_hash"], "body_hash")
     matched = cut(matched.unionByName(loose))
-    matched = _to_fixed_point(base, head, matched, [], "positional")
+    matched = _to_fixed_point(base, head, matched, [], "positional", nested)
     none = F.lit(None)
     removed = _left(base, matched, "base").select("path", F.col("idx").alias("base_idx"), none.cast("int").alias("head_idx"), none.cast("string").alias("tier"))
     added = _left(head, matched, "head").select("path", none.cast("int").alias("base_idx"), F.col("idx").alias("head_idx"), none.cast("string").alias("tier"))

@@ -238,9 +238,47 @@ def ranks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         ranked = now
 
 
+def _revealed_one_way(callers: DataFrame, origins: DataFrame, direction: str, hops: int | None) -> DataFrame:
+    known = _Levels(origins.select("node").distinct().select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("direction"), F.lit(0).alias("level")))
+    frontier, level = known.all(), 0
+    while hops is None or level < hops:
+        level += 1
+        step = frontier.join(callers, "node").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("parent"))
+        step = step.join(known.all().select("node"), "node", "left_anti")
+        frontier = cut(step.withColumns({"direction": F.lit(direction), "level": F.lit(level)}))
+        if frontier.isEmpty():
+            break
+        known.add(frontier)
+    return known.all()
+
+
+def revealed(edges: DataFrame, origins: DataFrame, hops: int | None = None) -> DataFrame:
+    """(node, parent, direction, level): what expanding the origins brings into view, and from which node it first came.
+
+    Callers are expanded first, then callees; of several parents a hop away the least counts. Origins have none.
+    """
+    up = _revealed_one_way(_callers(edges), origins, "callers", hops)
+    down = _revealed_one_way(_callers(edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))), origins, "callees", hops)
+    return cut(up.unionByName(down.join(up.select("node"), "node", "left_anti")))
+
+
+def visible_nodes(nodes: DataFrame, edges: DataFrame, shown: DataFrame) -> DataFrame:
+    """(node) of ``shown`` (node, parent, direction) in view when unchanged callees are hidden.
+
+    An unchanged callee stays only if a changed function newly calls it or no longer does; what came into view
+    through a hidden node is hidden with it. ``nodes`` has node and status, ``edges`` caller, callee and status.
+    """
+    status = lambda s: nodes.where(F.col("status") == s).select("node")
+    moved = edges.where("status <> 'unchanged'").join(status("changed").withColumnRenamed("node", "caller"), "caller", "left_semi")
+    hidden = shown.where("direction = 'callees'").join(status("unchanged"), "node", "left_semi")
+    hidden = hidden.join(moved.select(F.col("callee").alias("node")), "node", "left_anti").select("node")
+    kept = shown.where("parent IS NOT NULL").join(hidden, "node", "left_anti")
+    return downstream(kept.select(F.col("parent").alias("caller"), F.col("node").alias("callee")), shown.where("parent IS NULL").select("node")).select("node")
+
+
 def visible_edges(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Edges in view when unchanged callees are hidden: all into what changed, and of the others those that a
-    changed caller newly makes or no longer makes, with what stays in view below them."""
+    """Edges that show a change: all into what changed, and of the others those that a changed caller newly makes
+    or no longer makes. ``visible_nodes`` says what a view keeps."""
     moved = changed.select("node").distinct()
     to_changed = edges.join(moved.withColumnRenamed("node", "callee"), "callee", "left_semi").select(edges.columns)
     from_changed = edges.join(moved.withColumnRenamed("node", "caller"), "caller", "left_semi").where("status <> 'unchanged'").select(edges.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.functions import paths
+from ripplemark.tables import cut
 
 
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -150,6 +151,54 @@ def renames(base: DataFrame, head: DataFrame) -> DataFrame:
     return edited.withColumn("from", F.lit(None).cast("string")).unionByName(moved)
 
 
+#: Pieces that contents are compared by: lines, long ones in parts.
+_PIECE = r"[^\n]{0,63}\n|[^\n]{1,64}"
+
+
+def similar_renames(gone: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """(path, from, score): which new file (path, text) is which gone one, edited.
+
+    The score is the bytes of the pieces that both have, repeats counted, of those of the larger file. Pairs at
+    ``least`` or more are taken from the highest on, each file once; of equal ones that of the same file name, then
+    the first names. Candidates share one of the rare pieces that make up all but ``least`` of each, so none is lost
+    and frequent lines pair nothing. Texts without pieces and null ones have no pair.
+    """
+
+    def pieces(df: DataFrame, side: str) -> DataFrame:
+        each = df.select(F.lit(side).alias("side"), F.col("path").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))).alias("piece"))
+        return each.groupBy("side", "file", "piece").agg(F.sum(F.octet_length("piece")).alias("bytes"))
+
+    held = cut(pieces(gone, "gone").unionByName(pieces(new, "new")))
+    rarest = Window.partitionBy("side", "file").orderBy(F.desc("files"), F.desc("piece")).rowsBetween(Window.unboundedPreceding, 0)
+    files = held.groupBy("piece").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("side").alias("sides"))
+    known = held.join(files, "piece").withColumns({"rest": F.sum("bytes").over(rarest), "size": F.sum("bytes").over(Window.partitionBy("side", "file"))})
+    known = cut(known)
+    of = lambda side, name: known.where(F.col("side") == side).select(F.col("file").alias(name), "piece", F.col("bytes").alias(f"{side}_bytes"), F.col("size").alias(f"{side}_size"), "rest", "sides")
+    g, n = of("gone", "from"), of("new", "path")
+    key = lambda df, size: df.where((F.col("sides") == 2) & (F.col("rest") >= least * F.col(size))).drop("rest", "sides")
+    pairs = key(g, "gone_size").join(key(n, "new_size"), "piece")
+    pairs = pairs.where(F.least("gone_size", "new_size") >= least * F.greatest("gone_size", "new_size")).select("from", "path").distinct()
+    shared = pairs.join(g.drop("rest", "sides"), "from").join(n.drop("rest", "sides"), ["path", "piece"])
+    scored = shared.groupBy("path", "from").agg((F.sum(F.least("gone_bytes", "new_bytes")) / F.max(F.greatest("gone_size", "new_size"))).alias("score"))
+    name = lambda c: F.substring_index(c, "/", -1)
+    left = cut(scored.where(F.col("score") >= least).withColumn("order", F.struct((-F.col("score")).alias("s"), (name("path") != name("from")).alias("n"), "path", "from")))
+    taken = left.limit(0)
+    while not left.isEmpty():  # what is best on both sides would be taken before all others of these files
+        best = lambda c: F.min("order").over(Window.partitionBy(c))
+        mutual = cut(left.withColumns({"a": best("from"), "b": best("path")}).where("order = a AND order = b").drop("a", "b"))
+        taken = cut(taken.unionByName(mutual))
+        left = cut(left.join(mutual.select("from"), "from", "left_anti").join(mutual.select("path"), "path", "left_anti").select(left.columns))
+    return taken.select("path", "from", "score")
+
+
+def with_similar(status: DataFrame, similar: DataFrame) -> DataFrame:
+    """The rows of ``renames`` with added and removed files that are the same one, edited, as a rename."""
+    pair = similar.select("path", "from")
+    rest = status.join(pair.select("path").withColumn("status", F.lit("A")), ["status", "path"], "left_anti")
+    rest = rest.join(pair.select(F.col("from").alias("path")).withColumn("status", F.lit("D")), ["status", "path"], "left_anti")
+    return rest.select("status", "path", "from").unionByName(pair.select(F.lit("R").alias("status"), "path", "from"))
+
+
 def change_kind(status: Column) -> Column:
     """Change of a status letter."""
     return F.when(status.isin("A", "C"), "added").when(status == "D", "deleted").when(status == "R", "renamed").otherwise("modified")

@@ -33,7 +33,9 @@ class Plan:
 def changed_files(texts: DataFrame, packages: DataFrame) -> DataFrame:
     """(path, change, previous_path, package) of every file that differs."""
     hashed = texts.select("rev", "path", F.md5("text").alias("hash"))
-    st = joins.renames(hashed.where("rev = 'base'"), hashed.where("rev = 'head'"))
+    st = cut(joins.renames(hashed.where("rev = 'base'"), hashed.where("rev = 'head'")))
+    lone = lambda rev, letter: texts.where(F.col("rev") == rev).join(st.where(F.col("status") == letter), "path", "left_semi").select("path", "text")
+    st = joins.with_similar(st, joins.similar_renames(lone("base", "D"), lone("head", "A")))
     kind = paths.language(F.col("path"))
     rows = st.select("path", joins.change_kind(F.col("status")).alias("change"), F.col("from").alias("previous_path"), F.when(kind == "typescript", "js").otherwise(kind).alias("kind"))
     head = packages.where("rev = 'head'").withColumn("name", F.coalesce("name", "dir"))
