@@ -82,6 +82,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--head")
     p.add_argument("--hops", type=int, default=plan.HOPS)
     p.add_argument("--json", action="store_true")
+    p.add_argument("--impact", action="store_true", help="the older report: chains from entry points to changes, as JSON")
+    p.add_argument("--html", metavar="FILE", help="write the page as well")
     a = commands.add_parser("assess")
     a.add_argument("plan", nargs="?", default="-")
     a.add_argument("--sarif", action="append", default=[])
@@ -136,7 +138,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for x in aligned.rows(texts, path, symbol or None).collect():
             print(f"{x['kind']:<10}{x['label']}  {x['base_start'] or '-'} → {x['head_start'] or '-'}" + "".join(f"\n    + {c}" for c in x["added_calls"] or []) + "".join(f"\n    - {c}" for c in x["removed_calls"] or []))
         return 0
-    document = plan.report(plan.make(texts, _reported(spark, root, config), _sites(texts, config), args.hops), base, head, args.hops)
+    made = plan.make(texts, _reported(spark, root, config), _sites(texts, config), args.hops)
+    if args.impact:
+        print(json.dumps(plan.impact(made, base, head), indent=2, ensure_ascii=False))
+        return 0
+    document = plan.report(made, base, head, args.hops)
+    if args.html:
+        with open(args.html, "w", encoding="utf-8") as f:
+            f.write(plan.to_html(made, document))
     print(plan.to_json(document) if args.json else plan.to_text(document))
     return 0
 

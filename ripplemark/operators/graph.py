@@ -101,8 +101,12 @@ def walks(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> Wa
 
 def upstream_of_each(edges: DataFrame, origins: DataFrame, levels: int | None = None) -> DataFrame:
     """(origin, node, distance) of every origin on its own: the pairs of ``walks``, one row each."""
-    marks, words = walks(edges, origins, levels)
-    held = words.join(marks, ["g", "w"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return pairs(walks(edges, origins, levels))
+
+
+def pairs(each: Walks) -> DataFrame:
+    """(origin, node, distance), one row for each bit of the words."""
+    held = each.words.join(each.marks, ["g", "w"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     return held.select("origin", "node", "distance")
 
 

@@ -26,6 +26,7 @@ class Plan:
     reach: DataFrame  # functions that run the change: node, path, package
     entries: DataFrame  # node, kind
     chains: DataFrame  # node, distance, chain
+    reaches: DataFrame  # node, reaches: of each entry point the changes it reaches, nearest first
     texts: DataFrame  # rev, path, text
     facts: DataFrame
 
@@ -112,7 +113,10 @@ def make(texts: DataFrame, reported: DataFrame | None = None, sites: DataFrame |
     kept = functions.select("node")
     calls = edges.join(kept.select(F.col("node").alias("caller")), "caller", "left_semi").join(kept.select(F.col("node").alias("callee")), "callee", "left_semi")
     reach = functions.where("change = 'unchanged'")
-    return Plan(files, functions, cut(calls), cut(symbols), reach, entries, graph.nearest_origin(live, origins, hops), texts, facts)
+    at_entries = graph.pairs(each._replace(words=each.words.join(entries.select("node"), "node", "left_semi")))
+    nearest_first = F.array_sort(F.collect_list(F.struct("distance", "origin")))
+    reaches = at_entries.groupBy("node").agg(F.transform(nearest_first, lambda x: x["origin"]).alias("reaches"))
+    return Plan(files, functions, cut(calls), cut(symbols), reach, entries, graph.nearest_origin(live, origins, hops), reaches, texts, facts)
 
 
 def report(plan: Plan, base: str = "base", head: str | None = None, hops: int = HOPS) -> dict:
@@ -181,11 +185,11 @@ def to_text(document: dict) -> str:
 
 def impact(plan: Plan, base: str = "base", head: str | None = None) -> dict:
     """The older report: for each entry point a shortest chain down to a change, and all changes it reaches."""
-    entries = plan.entries.join(plan.chains, "node")
+    entries = plan.entries.join(plan.chains, "node").join(plan.reaches, "node", "left")
     chains = []
     for r in entries.orderBy("kind", "node").collect():
         hops = list(reversed(r["chain"]))
-        chains.append({"entry": r["node"], "kind": r["kind"], "changed": hops[-1], "hops": hops})
+        chains.append({"entry": r["node"], "kind": r["kind"], "changed": hops[-1], "reaches": r["reaches"] or [], "hops": hops})
     packages = {}
     for r in plan.functions.groupBy(F.coalesce("package", F.lit(aggregates.OUTSIDE)).alias("p")).agg(
         F.count_if(F.col("change") != "unchanged").alias("changed"), F.count_if(F.col("change") == "unchanged").alias("affected")

@@ -182,6 +182,7 @@ def test_the_page_and_the_older_report(orchard):
     old = plan.impact(made)
     far = next(c for c in old["chains"] if c["entry"].endswith("::refresh"))
     assert [h.split("::")[1] for h in far["hops"]] == ["refresh", "anon@5", "dryBeds", "isDry", "moisture"]
+    assert far["reaches"][0] == far["changed"] and len(far["reaches"]) == len(set(far["reaches"]))
     assert {"from_package": "@orchard/phone", "to_package": "@orchard/panel", "calls": 1, "changed_calls": 0, "routes": 1} in old["crossings"]
 
 
@@ -192,3 +193,12 @@ def test_one_files_alignment_for_people(spark):
     rows = {r["label"]: r for r in aligned.rows(texts, "a.ts").collect()}
     assert rows["f"]["kind"] == "changed" and rows["f"]["added_calls"] == ["y"] and (rows["f"]["base_start"], rows["f"]["head_start"]) == (1, 2)
     assert rows["h"]["tier"] == "positional" and rows["h"]["kind"] == "changed"
+
+
+def test_a_file_that_moves_and_changes_is_one_file(spark):
+    old = "".join(f"const step{i} = () => {{ return {i}; }};\n" for i in range(8))
+    texts = texts_of(spark, {"a/old.ts": old, "a/gone.ts": "let x = 1;\n"}, {"a/new.ts": old.replace("return 3", "return 33"), "a/fresh.ts": "call(me);\n"})
+    made = plan.make(texts)
+    assert {(r["path"], r["change"], r["previous_path"]) for r in made.files.collect()} == {
+        ("a/new.ts", "renamed", "a/old.ts"), ("a/gone.ts", "deleted", None), ("a/fresh.ts", "added", None)
+    }
