@@ -49,6 +49,8 @@ WIDE_LANES, WIDE_BITS = 3, 64
 _TEXTS = 128
 #: Shingles that are ordered by how many texts have them: at most so many, if they have the least count.
 HOT_SHINGLES, _HOT_LEAST = 1 << 18, 16
+#: Shingles of a text beyond its prefix that are counted too, as late ones leave room for them.
+_BEYOND = 32
 #: Groups up to this size are compared many at a time; shingles whose texts are counted at a time.
 _SMALL, _COLUMNS = 16, 4096
 
@@ -306,26 +308,31 @@ def prefix(hashes: np.ndarray, least: float, late: np.ndarray, rank: np.ndarray)
     at = np.minimum(np.searchsorted(late, hashes), max(0, len(late) - 1))
     frequent = late[at] == hashes if len(late) else np.zeros(len(hashes), bool)
     order = np.concatenate([hashes[~frequent], hashes[frequent][np.argsort(rank[at[frequent]])]])
-    return order[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+    return order[: _prefix_length(len(hashes), least)]
+
+
+def _prefix_length(n: int, least: float) -> int:
+    return n - int(np.ceil(least * n - 1e-9)) + 1
 
 
 def _late(texts: DataFrame, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and the rank of each; a bounded number, by counts over all texts.
 
-    Prefixes take the least fifth of the hashes, so only those of the least quarter are counted.
+    Counted are the hashes that a text's prefix takes if none is late, and some beyond. A bound on the hash instead would
+    leave out most of a short text: what many have in common would stay a key, and link them into one component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
                 hashes = distinct_shingles(t.as_py(), shingle, seed)
-                few = hashes[: int(np.searchsorted(hashes, np.uint64(1 << 62)))].view(np.int64)
+                few = hashes[: _prefix_length(len(hashes), SIMILARITY) + _BEYOND].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(few)], ["h"])
 
     counts = saved(texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _HOT_LEAST), "late")
-    most = counts.where(F.col("c") >= least_count(counts, HOT_SHINGLES)).orderBy("c", "h").select("h").toPandas()["h"].to_numpy(np.int64)
+    most = counts.where(F.col("c") >= least_count(counts, HOT_SHINGLES)).orderBy("c", "h").select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(most)
-    return most[order].view(np.uint64), order
+    return most[order], order
 
 
 def _classes(texts: DataFrame, links: list[DataFrame]) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +175,15 @@ def test_similar_dedup_keeps_texts_below_four_fifths(spark):
     assert sorted(r["doc_id"] for r in simhash.similar_dedup(df).collect()) == sorted(i for i, _ in rows)
 
 
+def test_what_many_short_texts_have_in_common_is_no_key(spark):
+    rng = random.Random(8)
+    common = " ".join(f"common{i}" for i in range(12))
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(20)), common]) for _ in range(60)]
+    late, rank = simhash._late(spark.createDataFrame([(t.encode(),) for t in texts], "_text binary"), simhash.WIDE_SHINGLE, simhash.SEED)
+    keys = [simhash.prefix(simhash.distinct_shingles(t.encode(), simhash.WIDE_SHINGLE), simhash.SIMILARITY, late, rank) for t in texts]
+    assert max(np.unique(np.concatenate(keys), return_counts=True)[1]) == 1
+
+
 def test_prefixes_of_similar_sets_share_a_shingle_in_any_order():
     import random
 
